@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from editpairs.llm import exact_dedup, token_files
+from editpairs.llm import exact_dedup, language_id, token_files
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_token_files": token_files.op2_token_files,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
 }

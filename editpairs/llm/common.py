@@ -107,11 +107,17 @@ BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64."""
-    out = np.full(n + 1, np.uint64(base & (2**64 - 1)), dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base^0 .. base^n modulo 2^64, or more of them."""
+    have = _POWERS.get(base)
+    if have is None or len(have) <= n:
+        have = np.full(max(n, 1 << 20) + 1, np.uint64(base), dtype=np.uint64)
+        have[0] = 1
+        have = _POWERS[base] = np.multiply.accumulate(have)
+    return have
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
@@ -156,3 +162,11 @@ def shingles(word: np.ndarray, text: np.ndarray, n_texts: int, size: int) -> tup
         return np.zeros(0, dtype=np.uint64), owner
     order = np.argsort(owner, kind="stable") if short.any() else slice(None)
     return range_hash(prefix, starts, ends)[order], owner[order]
+
+
+def binary_column(column) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of an Arrow binary column, offsets of its values in them), without a copy; no nulls."""
+    wide = str(column.type).startswith("large")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), offsets.astype(np.int64)

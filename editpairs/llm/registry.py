@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from editpairs.llm import exact_dedup, language_id, secrets, token_files
+from editpairs.llm import exact_dedup, language_id, repeated_substrings, secrets, token_files
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_token_files": token_files.op2_token_files,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_repeated_substrings": repeated_substrings.op5_repeated_substrings,
 }
 
 SQL = {

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from editpairs.llm import exact_dedup, language_id, repeated_substrings, secrets, token_files
+from editpairs.llm import bit_sliced, exact_dedup, language_id, near_join, repeated_substrings, secrets, token_files
 
 QUERIES = {
+    "op8_jaccard_join": near_join.op8_jaccard_join,
+    "op6_top_k": bit_sliced.op6_top_k,
     "op1_language_id": language_id.op1_language_id,
     "op2_token_files": token_files.op2_token_files,
     "op3_secret_scan": secrets.op3_secret_scan,
@@ -13,5 +15,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_top_k": bit_sliced.OP6_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from editpairs.llm import bit_sliced, exact_dedup, language_id, near_join, repeated_substrings, secrets, token_files
+from editpairs.llm import bit_sliced, exact_dedup, language_id, mixing, near_join, packing, paragraphs, repeated_substrings, secrets, token_files
 
 QUERIES = {
-    "op8_jaccard_join": near_join.op8_jaccard_join,
-    "op6_top_k": bit_sliced.op6_top_k,
     "op1_language_id": language_id.op1_language_id,
     "op2_token_files": token_files.op2_token_files,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_repeated_substrings": repeated_substrings.op5_repeated_substrings,
+    "op6_top_k": bit_sliced.op6_top_k,
+    "op7_paragraph_dedup": paragraphs.op7_paragraph_dedup,
+    "op8_jaccard_join": near_join.op8_jaccard_join,
+    "op9_mix": mixing.op9_mix,
+    "op10_pack": packing.op10_pack,
 }
 
 SQL = {
-    "op6_top_k": bit_sliced.OP6_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op6_top_k": bit_sliced.OP6_SQL,
 }

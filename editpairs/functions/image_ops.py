@@ -129,7 +129,7 @@ def from_bgr(image: Column) -> Column:
     @F.pandas_udf(T.BinaryType())
     def swapped(data: pd.Series, channels: pd.Series) -> pd.Series:
         def swap(d, c):
-            if d is None:
+            if d is None or c is None or c < 1:
                 return None
             x = np.frombuffer(d, dtype=np.uint8).reshape(-1, int(c))
             return (x[:, [2, 1, 0]] if c >= 3 else np.repeat(x[:, :1], 3, axis=1)).tobytes()

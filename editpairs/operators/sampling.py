@@ -25,11 +25,10 @@ def stratified(df: DataFrame, stratum: str, key: str, targets: DataFrame, seed:
     rows = df.join(F.broadcast(targets), F.col(stratum) == F.col("_stratum")).drop("_stratum")
     rows = rows.filter("_target IS NULL OR _target > 0").withColumn("_order", seeded_key(seed, key))
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(SLICES)))
-    order = [F.col("_order"), F.col(key)]
-    for by in ((stratum, "_slice"), (stratum,)):
-        part = rows.filter("_target IS NOT NULL")
-        part = part.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter("_rank <= _target").drop("_rank")
-        rows = rows.filter("_target IS NULL").unionByName(part)
+    # one scan: strata that are taken whole stay in slices, the others meet after the first cut
+    for by in (F.col("_slice"), F.when(F.col("_target").isNull(), F.col("_slice"))):
+        rank = F.row_number().over(W.partitionBy(stratum, by).orderBy("_order", key))
+        rows = rows.withColumn("_rank", rank).filter("_target IS NULL OR _rank <= _target").drop("_rank")
     return rows.select(*df.columns)
 
 

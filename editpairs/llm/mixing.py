@@ -23,6 +23,8 @@ from editpairs.llm.common import written
 LEVELS = ["domain", "language", "source_name"]
 RANGE_BITS = 12
 MAX_EPOCHS = 3
+#: Leaves that the tree of weights may have; their sums and budgets pass the driver.
+MAX_LEAVES = 100_000
 SEED = 20240229
 
 #: Target weights; a name that isn't listed weighs 1. A domain is made of the sources whose numbers leave its remainder by 4.
@@ -79,12 +81,15 @@ def mix(docs: DataFrame, total: int | None = None, weights: dict[str, dict] = WE
 
     In each epoch's order (hash of seed, epoch and id, then id, then n_tokens) a prefix of rows whose tokens
     sum up to no more than the leaf's budget is taken. Rows without a token are never taken; rows that repeat
-    an id lie next to each other in the order and count each; an empty table gives no row.
+    an id lie next to each other in the order and count each; an existing column `epoch` is replaced; an empty table
+    gives no row.
     """
     spark = docs.sparkSession
-    docs = docs.filter("n_tokens > 0")
-    # a row a leaf: the tree is as large as the table of weights that describes it
-    leaves = {tuple(r[c] for c in LEVELS): r["n"] for r in docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).collect()}
+    docs = docs.filter("n_tokens > 0").drop("epoch")
+    sums = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
+    if len(sums) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} leaves: group small sources into one first")
+    leaves = {tuple(r[c] for c in LEVELS): r["n"] for r in sums}
     total = sum(leaves.values()) if total is None else total
     plan = [(*p, b // leaves[p], b % leaves[p]) for p, b in budgets(leaves, total, weights, epochs).items()]
     plan = spark.createDataFrame(plan, ", ".join(f"_{c} string" for c in LEVELS) + ", _whole long, _rest long")

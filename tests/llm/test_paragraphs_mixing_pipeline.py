@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from editpairs.llm import mixing as M
-from editpairs.llm.paragraphs import op7_paragraph_dedup, repeated_paragraphs
+from editpairs.llm.paragraphs import op7_paragraph_dedup, paragraphs, repeated_paragraphs
 
 VOCABULARY = ["".join(random.Random(k).choice("abcdefghé") for _ in range(5)) for k in range(900)]
 
@@ -35,12 +35,10 @@ def docs_with_repeats():
 def brute(rows):
     parts = []
     for d, t in rows:
-        at = 0
-        for line in (t or "").split("\n"):
-            words = re.findall(r"[^\W_]+", line.lower())
+        for start, end in paragraphs(t or ""):
+            words = re.findall(r"[^\W_]+", t[start:end].lower())
             if len(words) >= 50:
-                parts.append((d, at, at + len(line), {tuple(words[i : i + 5]) for i in range(len(words) - 4)}))
-            at += len(line) + 1
+                parts.append((d, start, end, {tuple(words[i : i + 5]) for i in range(len(words) - 4)}))
     hit = set()
     for i, a in enumerate(parts):
         for j, b in enumerate(parts):
@@ -66,6 +64,13 @@ def test_repeated_paragraphs(spark, tmp_path):
     assert repeated_paragraphs(docs.filter("false")).count() == 0
 
 
+def test_paragraph_places():
+    long, short = "w " * 50, "v " * 20
+    text = f"{short}\n\n{short}\n{short}\n{long}\n{short}\n{long}\n{short}"
+    assert [text[a:b] for a, b in paragraphs(text)] == [f"{short}\n\n{short}\n{short}", long, long]
+    assert paragraphs("") == [] and paragraphs("\n \n") == []
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_budgets(seed):
     rng = random.Random(seed)
@@ -93,7 +98,7 @@ def test_shortage_goes_to_siblings_first():
 def test_prefixes_of_seeded_epochs(spark, total):
     rng = random.Random(3)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 9))), rng.choice(["en", "fr", None]), rng.choice(["src0", "src1", "src4", "x", None])) for i in range(400)] + [(900, None, "en", "src0"), (901, "", "en", "src0")]
-    docs = M.with_tree(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, epoch int").drop("epoch"))
+    docs = M.with_tree(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, epoch int"))
     got = M.mix(docs, total).collect()
     base = [r.asDict() for r in docs.filter("n_tokens > 0").collect()]
     leaves = {}

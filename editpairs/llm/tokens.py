@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -10,7 +11,7 @@ import numpy as np
 from editpairs.llm.common import blocks_of
 
 #: Words whose ids a worker keeps, at about 200 bytes each.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,57 +34,93 @@ class WordEncoder:
 
         self.tokenizer, self.lead = Tokenizer.from_file(path), spaces == "lead"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.kept: dict[str, bytes | None] = {}
+        # a special token parts words in a text, as it never joins with its neighbours; words with a "<" go alone
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<")]
+        self.mark, self.mark_id = special[0] if special else (None, -1)
+        self.heads: dict[str, bytes] = {}  # of texts: no space before them
+        # ids of tokens that begin with a space, which in a text of words is a word's first token
+        self.opens = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: set[str], present: set[str]) -> None:
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {w: self.kept[w] for w in present - new}
-        new = list(new)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            ids = self.whole([" " + w for w in part] if self.lead else part)
-            if self.lead:  # a space after white space need not begin a word
-                ids = [None if not w or w[-1].isspace() else x for w, x in zip(part, ids)]
-            self.kept.update(zip(part, ids))
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        if not self.lead:
+            alone = [w for w in new if self.mark is None or "<" in w]
+            self.kept.update(zip(alone, self.whole(alone)))
+            new = [w for w in new if w not in self.kept]
+            parts = [new[a : a + 1000] for a in range(0, len(new), 1000)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype=self.dtype)
+                marks = np.flatnonzero(ids == self.mark_id)
+                if len(marks) != len(part) - 1:
+                    self.kept.update(zip(part, self.whole(part)))
+                    continue
+                data, size = ids.tobytes(), self.dtype.itemsize
+                starts, ends = (np.append(0, marks + 1) * size).tolist(), (np.append(marks, len(ids)) * size).tolist()
+                self.kept.update((w, data[x:y]) for w, x, y in zip(part, starts, ends))
+            return
+        # a space after white space need not begin a word
+        self.kept.update((w, None) for w in new if not w or w[-1].isspace())
+        safe = [w for w in new if w and not w[-1].isspace()]
+        parts = [safe[a : a + 1000] for a in range(0, len(safe), 1000)]
+        texts = [" " + " ".join(p) for p in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            at = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.dtype.itemsize
+            if len(at) != len(part) + 1:  # no word of one space each: never seen, but then each by itself
+                self.kept.update(zip(part, self.whole([" " + w for w in part])))
+                continue
+            data, at = ids.tobytes(), at.tolist()
+            self.kept.update((w, data[x:y]) for w, x, y in zip(part, at[:-1], at[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for a, b in blocks_of(texts):
-            out += self._block(texts[a:b])
+            part, new = self._block(texts[a:b])
+            out += part
+            if len(self.kept) > KEPT_WORDS:  # what came first stays: frequent words come early
+                for w in new:
+                    del self.kept[w]
         return out
 
-    def _block(self, texts: list[str]) -> list[bytes]:
+    def _block(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """The texts' ids, and the words that were learned for them."""
         if self.lead:
             cut = [t.split(" ") for t in texts]
             heads = [c[0] for c in cut]
-            tails = [c[-1] if len(c) > 1 else None for c in cut]
-            inner = [c[1:-1] for c in cut]
+            # a last word that white space ends is not like the others, as no space follows it
+            odd = [c.pop() if len(c) > 1 and (not c[-1] or c[-1][-1].isspace()) else None for c in cut]
+            inner = [c[1:] for c in cut]
         else:
             inner = [t.split() for t in texts]
         present: set[str] = set()
         for c in inner:
             present.update(c)
-        if new := present.difference(self.kept):
-            self.learn(new, present)
+        new = list(present.difference(self.kept))
+        self.learn(new)
         find = self.kept.__getitem__
         if not self.lead:
             # these four separate words for str.split, but not for the tokenizer
-            return [b"".join(map(find, c)) if not any(x in t for x in "\x1c\x1d\x1e\x1f") else self.whole([t])[0] for t, c in zip(texts, inner)]
-        first = self.whole(heads)
-        last = iter(self.whole([" " + t for t in tails if t is not None]))
+            return [b"".join(map(find, c)) if not any(x in t for x in "\x1c\x1d\x1e\x1f") else self.whole([t])[0] for t, c in zip(texts, inner)], new
+        if len(self.heads) > KEPT_WORDS // 8:
+            self.heads.clear()
+        unknown = list(set(heads).difference(self.heads))
+        self.heads.update(zip(unknown, self.whole(unknown)))
+        last = iter(self.whole([" " + t for t in odd if t is not None]))
         out = []
-        for text, head, tail, c, f in zip(texts, heads, tails, inner, first):
+        for text, head, tail, c in zip(texts, heads, odd, inner):
             end = next(last) if tail is not None else b""
             try:
-                if tail is not None and head and head[-1].isspace():
+                if head and head[-1].isspace() and (c or tail is not None):
                     raise TypeError
-                out.append(f + b"".join(map(find, c)) + end)
+                out.append(self.heads[head] + b"".join(map(find, c)) + end)
             except TypeError:  # a word of None: white space before a space
                 out.append(self.whole([text])[0])
-        return out
+        return out, new
 
 
 @lru_cache(maxsize=4)

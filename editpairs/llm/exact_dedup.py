@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import join_hot, partitions, shared_dir
+from editpairs.llm.common import join_hot, partitions, shared_dir, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,9 +44,11 @@ class DigestIndex:
         that stayed then. Only ids and 32-byte digests are shuffled.
         """
         batch = uuid.uuid4().hex
-        each = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(text).alias("digest"))
-        each = each.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-        texts = each.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(text).alias("digest"))
+        each = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+        # from the rows themselves, and written, so that a group's rows are summed before they are dealt by
+        # digest: else the anti-join would be pushed below the aggregation
+        texts = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digests")
         new = texts.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         new = new.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest")
         new.select("digest", "keep_id", "group_size", "batch").write.insertInto(self.table)

@@ -17,11 +17,12 @@ TREES, DEPTH, RECALL = 20, 10, 0.997
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, row, class_id, n_links for every row of docs (doc_id, text).
+    """doc_id, row, class_id, class_size, n_links, component for every row of docs (doc_id, text).
 
     n_links: other rows whose set of word 5-grams (lower-cased; a shorter text has one, of all its words) has
     a Jaccard similarity of 0.8 or more. class_id: the least doc_id of the class connected by such links,
-    null only if all its ids are null. A text without a word, null or empty, has no link and its own id;
+    null only if all its ids are null, so two classes can share it; component: the class's own key, the hash of
+    its least unit, null for a text without a word. Such a text, null or empty, has no link and its own id;
     repeated rows are links of each other; extra columns are ignored.
     """
     docs = with_row(docs)
@@ -31,10 +32,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     units = units.join(near, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     units = written(units, "unit-links")
     least = units.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    units = units.join(least, "component").select("unit", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    found = items.join(units, "unit").select("doc_id", "row", "class_id", "class_size", "n_links")
+    units = units.join(least, "component").select("unit", "component", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = items.join(units, "unit").select("doc_id", "row", "class_id", "class_size", "n_links", "component")
     none = docs.join(items.select("row").distinct(), "row", "left_anti")
-    return found.union(none.select("doc_id", "row", F.col("doc_id"), F.lit(1).cast("long"), F.lit(0).cast("long")))
+    return found.union(none.select("doc_id", "row", F.col("doc_id"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("binary")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -44,11 +45,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     both, the last column's too, stay together.
     """
     found = jaccard_join(docs).filter("class_size > 1")
-    keep = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("keep"))
-    gone = found.join(keep, found["class_id"].eqNullSafe(keep["class_id"])).filter(F.col("row") != F.col("keep.row")).select(F.col("row").alias("_gone")).distinct()
+    keep = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("keep"))
+    gone = found.join(keep, "component").filter(F.col("row") != F.col("keep.row")).select(F.col("row").alias("_gone")).distinct()
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     return docs.withColumn("_row", key).join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "class_size", "n_links")
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "class_size", "n_links", F.hex("component").alias("class_key"))

@@ -59,6 +59,21 @@ def test_against_brute_force(spark, monkeypatch, block):
         assert stay.select("doc_id").distinct().count() >= len({c for _, c, _ in brute(rows)}) - 1
 
 
+def test_classes_with_null_and_reused_ids_stay_apart(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(None, a), (None, a + " x"), (None, b), (None, b + " x"), (5, c), (6, c + " x"), (5, d), (7, d + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = [(r.doc_id, r.text) for r in one_of_each(docs).collect()]
+    assert len(stay) == 4 and {(5, c), (5, d)} <= set(stay)
+    assert all(sum(t.startswith(x) for _, t in stay) == 1 for x in (a, b, c, d))
+    keys = {}
+    for r in jaccard_join(docs).collect():
+        keys.setdefault(bytes(r.component), []).append(r.doc_id)
+    assert sorted(keys.values(), key=str) == [[5, 6], [5, 7], [None, None], [None, None]]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 7), (200, 100)] + [(300, i) for i in range(301, 340)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

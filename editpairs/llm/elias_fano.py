@@ -44,16 +44,28 @@ class EliasFano:
             low |= (int(self.low[b >> 3]) >> (b & 7) & 1) << k
         return (at - i) << self.low_bits | low
 
-    def values(self) -> np.ndarray:
-        """All of them."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1, from the blocks of upper bits that hold them and their low bits."""
+        a, b = max(0, a), min(b, self.n)
+        if a >= b:
+            return np.zeros(0, dtype=np.uint64)
+        first, last = (int(x) - 1 for x in np.searchsorted(self.counts, [a, b - 1], side="right"))
+        bits = np.unpackbits(self.high[first * BLOCK // 8 : (last + 1) * BLOCK // 8], bitorder="little")
+        skip = a - int(self.counts[first])
+        at = np.flatnonzero(bits)[skip : skip + b - a] + first * BLOCK
+        out = (at - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+            start, end = a * self.low_bits, b * self.low_bits
+            low = np.unpackbits(self.low[start // 8 : -(-end // 8)], bitorder="little")
+            low = low[start % 8 : start % 8 + end - start].reshape(b - a, self.low_bits)
             for k in range(self.low_bits):
-                out |= bits[:, k].astype(np.uint64) << np.uint64(k)
+                out |= low[:, k].astype(np.uint64) << np.uint64(k)
         return out
 
+    def values(self) -> np.ndarray:
+        """All of them."""
+        return self.slice(0, self.n)
+
     HEAD = struct.Struct("<QIQQQ")
 
     def to_bytes(self) -> bytes:

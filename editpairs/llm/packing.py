@@ -1,11 +1,13 @@
 """Packing of documents into sequences by lexical retrieval (operator 10).
 
 Documents are encoded once. Their terms are token ids, and a term's document frequency is counted over all
-documents; that table has a row an id of the vocabulary at most. Shards of about SHARD_TOKENS ids, dealt by
-row, each build a BM25 inverted index. A seed document asks its shard's index for unused neighbours and
-takes them, best first, until its window is full; what doesn't fit of the last one stays for another
-window. Windows inside a long document are sequences by themselves. So all sequences but a shard's last
-are full.
+documents; that table has a row an id of the vocabulary at most. Documents with the same heaviest term (by
+BM25, of those that other documents have too) go to the same shard, so a document's lexical neighbours are
+at hand whatever the corpus' size. Terms with few ids share a shard of about SHARD_TOKENS; those with more
+are dealt over as many shards as they need, row by row. Each shard builds a BM25 inverted index. A seed
+document asks its shard's index for unused neighbours and takes them, best first, until its window is full;
+what doesn't fit of the last one stays for another window. Windows inside a long document are sequences by
+themselves. So all sequences but a shard's last are full.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import written
-from editpairs.llm.tokens import encoder, tokenizer_path
+from editpairs.llm.common import binary_column, written
+from editpairs.llm.tokens import as_binary, encoder, tokenizer_path
 
 LENGTH = 2048
 SHARD_TOKENS = 1_000_000
@@ -32,26 +34,33 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, spaces: str = "drop")
 
     def encode(batches):
         coder = encoder(tokenizer, spaces)
-        end = np.array([end_id], dtype=coder.dtype).tobytes()
         for batch in batches:
-            ids = [x + end for x in coder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "n": np.array([len(x) // coder.dtype.itemsize for x in ids], dtype=np.int64)})
+            for a, b, ids, at in coder.ended(batch.column(1), end_id):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), as_binary(ids, at), pa.array(np.diff(at))], names=["doc_id", "ids", "n"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return written(rows.mapInArrow(encode, f"doc_id {kind}, ids binary, n long"), "encoded")
 
 
+def term_counts(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, how often) of an Arrow column of ids, by document and term."""
+    data, at = binary_column(column)
+    ids = data[at[0] : at[-1]].view(dtype).astype(np.int64)
+    code, count = np.unique(np.repeat(np.arange(len(column)), np.diff(at) // dtype.itemsize) << 32 | ids, return_counts=True)
+    return code >> 32, code & 0xFFFFFFFF, count
+
+
 def document_frequency(rows: DataFrame, dtype: np.dtype) -> dict[int, int]:
     """Documents that hold each token id: a row an id of the vocabulary at most."""
 
     def count(batches):
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                terms = np.unique(np.frombuffer(x, dtype=dtype))
-                if terms[-1] >= len(total):
-                    total = np.pad(total, (0, int(terms[-1]) + 1 - len(total)))
-                total[terms] += 1
+            for a in range(0, batch.num_rows, 500):
+                _, term, _ = term_counts(batch.column(0).slice(a, 500), dtype)
+                found = np.bincount(term, minlength=len(total))
+                found[: len(total)] += total
+                total = found
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": found, "n": total[found]})
 
@@ -59,6 +68,33 @@ def document_frequency(rows: DataFrame, dtype: np.dtype) -> dict[int, int]:
     return {r["term"]: r["n"] for r in found.collect()}
 
 
+def heaviest(column: pa.Array, dtype: np.dtype, weight: np.ndarray) -> np.ndarray:
+    """Of each document the term that weighs most, the least id of equal ones; -1 if none weighs anything."""
+    out = np.full(len(column), -1, dtype=np.int64)
+    for a in range(0, len(column), 500):
+        doc, term, count = term_counts(column.slice(a, 500), dtype)
+        heavy = weight[term] * count * (K1 + 1) / (count + K1)
+        order = np.lexsort((term, -heavy, doc))
+        first = order[np.searchsorted(doc, np.unique(doc))]  # doc is in order, and lexsort keeps that
+        out[a + doc[first]] = np.where(heavy[first] > 0, term[first], -1)
+    return out
+
+
+def shards_of(tokens: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """First shard and number of shards of each term; tokens: term -> ids of its documents."""
+    out, shard, held = {}, 0, 0
+    for term in sorted(tokens):
+        n = tokens[term]
+        if held and held + n > most:
+            shard, held = shard + 1, 0
+        out[term] = (shard, max(1, -(-n // most)))
+        if n > most:
+            shard, held = shard + out[term][1], 0
+        else:
+            held += n
+    return out
+
+
 class Index:
     """BM25 postings of some units: by term, the units and their weights."""
 
@@ -142,23 +178,41 @@ def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int, spaces: str =
     kind = dict(docs.dtypes)["doc_id"]
     rows = encoded(docs, tokenizer, end_id, spaces)
     dtype = encoder(tokenizer, spaces).dtype
-    tokens, n_docs = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    df = document_frequency(rows, dtype)
-    idf = np.zeros(max(df, default=0) + 1)
-    idf[list(df)] = np.log(1 + (n_docs - np.array(list(df.values())) + 0.5) / (np.array(list(df.values())) + 0.5))
-    idf = docs.sparkSession.sparkContext.broadcast(idf)
-    shards = max(1, -(-tokens // SHARD_TOKENS))
+    n_docs, df = rows.count(), document_frequency(rows, dtype)
+    idf, shared = np.zeros(max(df, default=0) + 1), np.zeros(max(df, default=0) + 1)
+    count = np.array(list(df.values()))
+    idf[list(df)] = np.log(1 + (n_docs - count + 0.5) / (count + 0.5))
+    shared[list(df)] = np.where(count > 1, idf[list(df)], 0)  # a term of one document has no neighbour
+    idf = docs.sparkSession.sparkContext.broadcast((idf, shared))
+
+    def weigh(batches):
+        total: dict[int, int] = {}
+        for batch in batches:
+            for term, n in zip(heaviest(batch.column(0), dtype, idf.value[1]).tolist(), batch.column(1).to_pylist()):
+                total[term] = total.get(term, 0) + n
+        yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+
+    sums = rows.select("ids", "n").mapInArrow(weigh, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    shards = shards_of({r["term"]: r["n"] for r in sums.collect()}, SHARD_TOKENS)  # a row an id of the vocabulary at most
+
+    def deal(batches):
+        for batch in batches:
+            at = [shards[t] for t in heaviest(batch.column(1), dtype, idf.value[1]).tolist()]
+            first, n = np.array(at, dtype=np.int64).reshape(-1, 2).T
+            shard = first + batch.column(2).to_numpy() % n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard)], names=["doc_id", "ids", "shard"])
 
     def shard(table: pa.Table) -> pa.Table:
         ids = [np.frombuffer(x, dtype=dtype) for x in table["ids"].to_pylist()]
-        pieces = pack(ids, idf.value)
+        pieces = pack(ids, idf.value[0])
         doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces))
         crc = [zlib.crc32(ids[i][s : s + n].astype("<u4").tobytes()) for i, s, n, _, _ in pieces]
         base = table["shard"][0].as_py() << 32
         return pa.table({"doc_id": table["doc_id"].take(pa.array(doc)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": np.array([len(x) for x in ids], dtype=np.int64)[doc], "sequence_id": base + sequence, "offset": offset})
 
-    # dealt by the row's place in the written table, so that copies are spread
-    rows = rows.select("doc_id", "ids", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
+    # a term's rows are dealt by their place in the written table, so that copies are spread
+    rows = rows.select("doc_id", "ids", F.abs(F.xxhash64(F.monotonically_increasing_id()) % (1 << 31)).alias("place"))
+    rows = rows.mapInArrow(deal, f"doc_id {kind}, ids binary, shard long")
     return rows.groupBy("shard").applyInArrow(shard, f"doc_id {kind}, {PIECES}")
 
 

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
-
-from editpairs.llm.common import blocks_of
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps, at about 200 bytes each.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 600_000
+#: Texts that are cut and looked up together have about so many bytes; a longer text is by itself.
+BLOCK = 8 << 20
+#: Stands between the pieces of a text that keeps its spaces; a text that has it is encoded whole.
+CUT = "\x01"
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,11 +26,11 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian bytes, `dtype` wide, the same as encoding each text by itself.
+    """Ids of texts, `dtype` wide, the same as encoding each text by itself.
 
-    A text is cut where the tokenizer's own pre-tokenizer always cuts, and each distinct word is encoded
-    once while it is kept. `spaces`: "lead" if a word begins with the space before it (byte-level BPE),
-    "drop" if white space never reaches the model. Texts that can't be cut safely are encoded whole.
+    A text is cut where the tokenizer's own pre-tokenizer always cuts, and each distinct piece of a block is
+    encoded once. `spaces`: "lead" if a word begins with the space before it (byte-level BPE), "drop" if
+    white space never reaches the model, which lower-cases. Texts that can't be cut safely are encoded whole.
     """
 
     def __init__(self, path: str, spaces: str):
@@ -33,97 +38,124 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lead = Tokenizer.from_file(path), spaces == "lead"
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.kept: dict[str, bytes | None] = {}
-        # a special token parts words in a text, as it never joins with its neighbours; words with a "<" go alone
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<")]
-        self.mark, self.mark_id = special[0] if special else (None, -1)
-        self.heads: dict[str, bytes] = {}  # of texts: no space before them
-        # ids of tokens that begin with a space, which in a text of words is a word's first token
-        self.opens = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
-        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.kept: dict[str, bytes] = {}
+        # tokens that begin with a space, or end a word: every word of a text has just one
+        own = [i for t, i in self.tokenizer.get_vocab().items() if (t.startswith("\u0120") if self.lead else t.endswith("</w>"))]
+        self.edge = np.zeros(size + 1, dtype=bool)
+        self.edge[own] = True
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line[0] if len(line) == 1 else -1
+        self.one_word = re.compile(r" [^\s<]+" if self.lead else r"[a-z]+")
+        self.one_line = re.compile(r"[^\s<]+")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        if not self.lead:
-            alone = [w for w in new if self.mark is None or "<" in w]
-            self.kept.update(zip(alone, self.whole(alone)))
-            new = [w for w in new if w not in self.kept]
-            parts = [new[a : a + 1000] for a in range(0, len(new), 1000)]
-            for part, e in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False)):
-                ids = np.array(e.ids, dtype=self.dtype)
-                marks = np.flatnonzero(ids == self.mark_id)
-                if len(marks) != len(part) - 1:
-                    self.kept.update(zip(part, self.whole(part)))
-                    continue
-                data, size = ids.tobytes(), self.dtype.itemsize
-                starts, ends = (np.append(0, marks + 1) * size).tolist(), (np.append(marks, len(ids)) * size).tolist()
-                self.kept.update((w, data[x:y]) for w, x, y in zip(part, starts, ends))
-            return
-        # a space after white space need not begin a word
-        self.kept.update((w, None) for w in new if not w or w[-1].isspace())
-        safe = [w for w in new if w and not w[-1].isspace()]
-        parts = [safe[a : a + 1000] for a in range(0, len(safe), 1000)]
-        texts = [" " + " ".join(p) for p in parts]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, dtype=self.dtype)
-            at = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.dtype.itemsize
-            if len(at) != len(part) + 1:  # no word of one space each: never seen, but then each by itself
-                self.kept.update(zip(part, self.whole([" " + w for w in part])))
-                continue
-            data, at = ids.tobytes(), at.tolist()
-            self.kept.update((w, data[x:y]) for w, x, y in zip(part, at[:-1], at[1:]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _together(self, words: list[str], joint: str, starts) -> list[bytes]:
+        """Ids of words that are encoded as one text; starts: ids -> where each word's ids begin, and where the last ones end."""
         out: list[bytes] = []
-        for a, b in blocks_of(texts):
-            part, new = self._block(texts[a:b])
-            out += part
-            if len(self.kept) > KEPT_WORDS:  # what came first stays: frequent words come early
-                for w in new:
-                    del self.kept[w]
+        for part in (words[a : a + 1000] for a in range(0, len(words), 1000)):
+            ids = np.array(self.tokenizer.encode_batch_fast([joint.join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            first, end = starts(ids)
+            if len(first) != len(part) or len(end) != len(part):  # never seen, but then each by itself
+                out += self.whole(part)
+                continue
+            data, size = ids.tobytes(), self.dtype.itemsize
+            out += [data[a:b] for a, b in zip((first * size).tolist(), (end * size).tolist())]
         return out
 
-    def _block(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """The texts' ids, and the words that were learned for them."""
+    def _learn(self, new: list[str]) -> None:
+        words = [w for w in new if self.one_word.fullmatch(w)]
         if self.lead:
-            cut = [t.split(" ") for t in texts]
-            heads = [c[0] for c in cut]
-            # a last word that white space ends is not like the others, as no space follows it
-            odd = [c.pop() if len(c) > 1 and (not c[-1] or c[-1][-1].isspace()) else None for c in cut]
-            inner = [c[1:] for c in cut]
+            self.kept.update(zip(words, self._together(words, "", lambda ids: (at := np.flatnonzero(self.edge[ids]), np.append(at[1:], len(ids))))))
         else:
-            inner = [t.split() for t in texts]
-        present: set[str] = set()
-        for c in inner:
-            present.update(c)
-        new = list(present.difference(self.kept))
-        self.learn(new)
-        find = self.kept.__getitem__
+            self.kept.update(zip(words, self._together(words, " ", lambda ids: (np.append(0, (at := np.flatnonzero(self.edge[ids]) + 1)[:-1]), at))))
+        rest = [w for w in new if w not in self.kept]
+        if self.lead and self.line_end >= 0:
+            words = [w for w in rest if self.one_line.fullmatch(w)]
+            self.kept.update(zip(words, self._together(words, "\n", lambda ids: (np.append(0, (at := np.flatnonzero(ids == self.line_end)) + 1), np.append(at, len(ids))))))
+            rest = [w for w in rest if w not in self.kept]
+        self.kept.update(zip(rest, self.whole(rest)))
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.kept.get, pieces))
+        new = [w for w, x in zip(pieces, found) if x is None]
+        if new:
+            self._learn(new)
+            found = list(map(self.kept.get, pieces))
+        if len(self.kept) > KEPT_WORDS:  # what came first stays: frequent words come early
+            for w in new:
+                del self.kept[w]
+        return found
+
+    def _cut(self, column: pa.Array) -> pa.Array:
+        """Lists of pieces: cuts lie between a letter and a mark, and at white space."""
         if not self.lead:
-            # these four separate words for str.split, but not for the tokenizer
-            return [b"".join(map(find, c)) if not any(x in t for x in "\x1c\x1d\x1e\x1f") else self.whole([t])[0] for t, c in zip(texts, inner)], new
-        if len(self.heads) > KEPT_WORDS // 8:
-            self.heads.clear()
-        unknown = list(set(heads).difference(self.heads))
-        self.heads.update(zip(unknown, self.whole(unknown)))
-        last = iter(self.whole([" " + t for t in odd if t is not None]))
-        out = []
-        for text, head, tail, c in zip(texts, heads, odd, inner):
-            end = next(last) if tail is not None else b""
-            try:
-                if head and head[-1].isspace() and (c or tail is not None):
-                    raise TypeError
-                out.append(self.heads[head] + b"".join(map(find, c)) + end)
-            except TypeError:  # a word of None: white space before a space
-                out.append(self.whole([text])[0])
-        return out, new
-
-
-@lru_cache(maxsize=4)
+            return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(column), r"([a-z])([.,])", r"\1 \2"))
+        column = pc.replace_substring(column, " ", f"{CUT} ")
+        column = pc.replace_substring_regex(column, "([A-Za-z])([.,])", rf"\1{CUT}\2")
+        return pc.split_pattern(pc.replace_substring_regex(column, "([.,A-Za-z])\n([A-Za-z])", f"\\1\n{CUT}\\2"), CUT)
+
+    def _block(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._cut(column)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        at, code, pieces = at - at[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ids = self._ids(pieces)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
+        pool, start = np.frombuffer(b"".join(ids), dtype=self.dtype), np.cumsum(size) - size
+        each = size[code]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        out, offsets = pool[np.repeat(start[code] - ends[:-1], each) + np.arange(ends[-1])], ends[at]
+        if self.lead:  # only a whole text says how more spaces in a row are cut
+            odd = np.array([p[:1] == " " and (len(p) == 1 or p[1].isspace()) for p in pieces], dtype=bool)
+            odd = np.diff(np.concatenate(([0], np.cumsum(odd[code])))[at]) > 0 if odd.any() else np.zeros(len(column), dtype=bool)
+            odd |= pc.match_substring(column, CUT).to_numpy(zero_copy_only=False)
+            if odd.any():
+                parts = [out[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+                hit = np.flatnonzero(odd)
+                for i, x in zip(hit.tolist(), self.whole(column.take(pa.array(hit)).to_pylist())):
+                    parts[i] = np.frombuffer(x, dtype=self.dtype)
+                out, offsets = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return out, offsets
+
+    def blocks(self, column: pa.Array):
+        """(first text, end text, ids of these texts, where each text's ids begin and the last ones end) of an Arrow column without nulls."""
+        size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, a = np.cumsum(size), 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] - size[a] + BLOCK, side="right")))
+            yield a, b, *self._block(column.slice(a, b - a))
+            a = b
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids[s:e].tobytes() for _, _, ids, at in self.blocks(pa.array(texts, pa.string())) for s, e in zip(at[:-1], at[1:])]
+
+    def ended(self, column: pa.Array, end_id: int):
+        """blocks() with end_id behind each text's ids."""
+        for a, b, ids, at in self.blocks(column):
+            out = np.empty(len(ids) + b - a, dtype=self.dtype)
+            place = np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(at))
+            out[place], out[at[1:] + np.arange(b - a)] = ids, end_id
+            yield a, b, out, at + np.arange(b - a + 1)
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Ids of each text."""
+        parts = [np.diff(at) for _, _, _, at in self.blocks(column)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def as_binary(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Arrow binary column of the ids in each range."""
+    offsets = at * ids.dtype.itemsize
+    kind, wide = (pa.large_binary(), np.int64) if offsets[-1] >= 1 << 31 else (pa.binary(), np.int32)
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(offsets.astype(wide).tobytes()), pa.py_buffer(ids.tobytes())])
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str, spaces: str) -> WordEncoder:
     """One for each worker process, which keeps its words from task to task."""
     return WordEncoder(path, spaces)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -13,7 +14,7 @@ from editpairs.llm.tokens import WordEncoder, tokenizer_path
 
 TEXTS = [
     "", " ", "  ", "word", " two words ", "a  b   c", "line\nnext \n\n end", "tab\tx \ty", "it's we'll 'd", "x<|endoftext|>y <|endoftext|> z", "NBSP here   now", "\x1c a\x1db \x85 c",
-    "é ÉCOLE Straße ΣΑΣ ΟΔΟΣ. é ö", "数字 123 45.6 %$ ##", "trailing\n", "\n leading", "emoji 👍🏽 👨‍👩‍👧", "a" * 5000, "<|startoftext|> q", "end   wide 　x", "́start ́x",
+    "é ÉCOLE Straße ΣΑΣ ΟΔΟΣ. é ö", "数字 123 45.6 %$ ##", "trailing\n", "\n leading", "emoji 👍🏽 👨‍👩‍👧", "a" * 5000, "<|startoftext|> q", "end   wide 　x", "́start ́x", "a\x01b c", "Foo.\nBar, x\n\ny.", "ŉ ŉA.",
 ]
 
 
@@ -34,6 +35,7 @@ def test_words_equal_whole_texts(monkeypatch, name, spaces, kept):
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 2, 3, 10**12], list(range(2000)), [7] * 600 + [2**40]])
 def test_elias_fano(values):
     e = EliasFano.from_bytes(EliasFano.encode(np.array(values, dtype=np.uint64)).to_bytes())
+    assert all(e.slice(a, b).tolist() == values[a:b] for a, b in ((0, 1), (3, 700), (511, 514), (1990, 5000)))
     assert e.values().tolist() == values and [e.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         e.select(len(values))
@@ -106,6 +108,49 @@ def test_packing_repeats_and_none(spark):
     assert packed_sequences(docs.filter("false"), tokenizer_path("word_bpe_49k.json"), 1).count() == 0
 
 
+def brute_pack(docs, idf):
+    """Windows by BM25 from the formula, document by document."""
+    rest, sequences = [list(d[len(d) // 2048 * 2048 :]) for d in docs], []
+    units = [i for i, r in enumerate(rest) if r]
+    sets, average = [list(r) for r in rest], np.mean([len(rest[i]) for i in units])
+
+    def weight(term, unit):
+        tf = sets[unit].count(term)
+        return idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(sets[unit]) / average))
+
+    while any(rest):
+        seed = next(i for i in units if rest[i])
+        terms = sorted(set(sets[seed]), key=lambda t: (-weight(t, seed), t))[: packing.TERMS]
+        score = {i: sum(weight(t, i) for t in terms) for i in units if i != seed}
+        order = [seed, *sorted((i for i in score if rest[i] and score[i] > 0), key=lambda i: (-round(score[i], 9), i)), *(i for i in units if i > seed and not score.get(i))]
+        room, window = 2048, []
+        for i in order:
+            n = min(room, len(rest[i]))
+            if n:
+                window.append((i, n))
+                rest[i], room = rest[i][n:], room - n
+        sequences.append(window)
+    return sequences
+
+
+def test_windows_follow_bm25():
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 60, rng.choice([1, 30, 300, 900, 3000])).astype(np.uint16) for _ in range(25)]
+    idf = rng.random(60).round(3) + 0.1
+    got = {}
+    for d, _, n, s, o in packing.pack(docs, idf):
+        if not (o == 0 and n == 2048):
+            got.setdefault(s, []).append((d, n))
+    assert list(got.values()) == brute_pack(docs, idf)
+
+
+def test_shards_by_heaviest_term():
+    assert packing.shards_of({-1: 4, 3: 5, 7: 25, 8: 2, 9: 9}, 10) == {-1: (0, 1), 3: (0, 1), 7: (1, 3), 8: (4, 1), 9: (5, 1)}
+    column = pa.array([np.array(x, "<u2").tobytes() for x in ([1, 1, 2], [2, 3], [4])], pa.binary())
+    assert packing.heaviest(column, np.dtype("<u2"), np.array([0, 1.0, 1.5, 1.5, 0])).tolist() == [2, 2, -1]
+    assert packing.heaviest(column.slice(1), np.dtype("<u2"), np.array([0, 1.0, 1.5, 1.6, 0])).tolist() == [3, -1]
+
+
 def test_neighbours_share_terms():
     red, blue = np.arange(10, 400, dtype=np.uint16), np.arange(1000, 1390, dtype=np.uint16)
     docs = [np.random.default_rng(i).permutation(red if i % 2 else blue)[:300] for i in range(24)]

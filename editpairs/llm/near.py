@@ -1,23 +1,24 @@
-"""Near-duplicates of texts or of parts of them, by MinHash over word shingles and exact Jaccard.
-
-A unit is a text or a part of one; equal word sequences are one unit with a weight. Its signature is cut
-into short prefixes, one a tree (or band). Units with an equal prefix are candidates: each is linked to the
-least unit of its bucket, and components of these links bring together all that must be compared, so a
-unit's shingles travel once. Within a component all pairs are verified exactly, by block products of the
-incidence matrix; what leaves a task is a row a unit: its links, and an edge to the least unit it is
-connected with. Components of more than BLOCK units are dealt out by pairs of blocks.
+"""Exact verification of near-duplicate texts, or parts of them, on word shingles.
+
+A unit is a text or a part of one; equal word sequences are one unit with a weight. An operator brings the
+units' candidate edges (op7 from bands, op8 from a forest of tries); components of these edges bring
+together all that must be compared, so a unit's shingles travel once. Within a component all pairs are
+verified exactly, by block products of the incidence matrix; what leaves a task is a row a unit: its links,
+and an edge to the least unit it is connected with. Components of more than BLOCK units are dealt out by
+pairs of blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import BASE, blocks_of, mix64, prefix_hash, range_hash, shingles, words, written
+from editpairs.llm.common import blocks_of, mix64, prefix_hash, range_hash, shingles, words, written
 from editpairs.llm.components import components
 
 SHINGLE = 5
@@ -27,88 +28,40 @@ BLOCK = 1024
 COLUMNS = 8192
 
 
-def recall(prefix: int, trees: int, similarity: float) -> float:
-    """The chance that two units of this similarity share the prefix of a tree at least."""
-    return 1 - (1 - similarity**prefix) ** trees
+def recall(depth: int, times: int, similarity: float) -> float:
+    """The chance that two units of this similarity share `depth` minima at least once in so many times."""
+    return 1 - (1 - similarity**depth) ** times
 
 
-def prefix_for(trees: int, longest: int, target: float) -> int:
-    """The longest prefix whose recall at the threshold reaches the target: shortened from the whole tree down."""
-    for n in range(longest, 1, -1):
-        if recall(n, trees, float(SIMILARITY)) >= target:
-            return n
-    return 1
-
-
-def sign(texts: list[str], trees: int, prefix: int, least_words: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(numbers of the texts with enough words, unit of each, one key a tree of each)"""
+def minima(texts: list[str], n: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(numbers of the texts that have a word, unit of each, n MinHash values of each, as 32-bit numbers)"""
     word, text, _ = words(texts)
     count = np.bincount(text, minlength=len(texts)) if len(text) else np.zeros(len(texts), dtype=np.int64)
-    enough = np.flatnonzero(count >= max(1, least_words))
-    if not len(enough):
-        return enough, [], np.zeros((0, trees), dtype=np.int64)
+    some = np.flatnonzero(count)
+    if not len(some):
+        return some, [], np.zeros((0, n), dtype=np.uint32)
     first = np.concatenate(([0], np.cumsum(count)))[:-1]
-    one = range_hash(prefix_hash(word), first[enough], (first + count)[enough])
-    two = range_hash(prefix_hash(mix64(word + np.uint64(1))), first[enough], (first + count)[enough])
-    units = np.stack([one, two], axis=1)
+    one = range_hash(prefix_hash(word), first[some], (first + count)[some])
+    two = range_hash(prefix_hash(mix64(word + np.uint64(1))), first[some], (first + count)[some])
     hashed, owner = shingles(word, text, len(texts), SHINGLE)
-    used = np.isin(owner, enough)
-    hashed, owner = (hashed[used] >> np.uint64(32)).astype(np.uint32), owner[used]
+    hashed = (hashed >> np.uint64(32)).astype(np.uint32)
     heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     random = np.random.default_rng(20240229)
-    keys = np.zeros((len(enough), trees), dtype=np.uint64)
-    for tree in range(trees):
-        for _ in range(prefix):
-            a, b = random.integers(0, 1 << 32, 2, dtype=np.uint32)
-            least = np.minimum.reduceat(hashed * (a | np.uint32(1)) + b, heads)
-            keys[:, tree] = mix64(keys[:, tree] * np.uint64(BASE) + least.astype(np.uint64) + np.uint64(1))
-    return enough, [u.tobytes() for u in units], keys.view(np.int64)
-
-
-def with_row(docs: DataFrame) -> DataFrame:
-    """row (a hash of id and text), doc_id, text (null: empty)."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-
+    out = np.zeros((len(some), n), dtype=np.uint32)
+    for k in range(n):
+        a, b = random.integers(0, 1 << 32, 2, dtype=np.uint32)
+        out[:, k] = np.minimum.reduceat(hashed * (a | np.uint32(1)) + b, heads)
+    return some, [u.tobytes() for u in np.stack([one, two], axis=1)], out
 
-def whole(text: str) -> list[tuple[int, int]]:
-    return [(0, len(text))]
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A hash of id and text; two rows that differ share it once in 2^64 pairs."""
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
 
-def units_of(docs: DataFrame, parts, trees: int, prefix: int, least_words: int = 1) -> DataFrame:
-    """row, doc_id, no, start, end, unit, keys of every part of docs with enough words; parts: text -> places."""
 
-    def each(batches):
-        for batch in batches:
-            rows, ids = batch.column(0).to_numpy(), batch.column(1)
-            texts = batch.column(2).to_pylist()
-            for a, b in blocks_of(texts):
-                of, no, place = [], [], []
-                for i in range(a, b):
-                    for k, (s, e) in enumerate(parts(texts[i])):
-                        if e - s >= 2 * least_words - 1:
-                            of.append(i)
-                            no.append(k)
-                            place.append((s, e))
-                if not of:
-                    continue
-                chosen, unit, keys = sign([texts[i][s:e] for i, (s, e) in zip(of, place)], trees, prefix, least_words)
-                if not len(chosen):
-                    continue
-                of, no, place = np.array(of)[chosen], np.array(no)[chosen], np.array(place)[chosen]
-                yield pa.RecordBatch.from_pydict({
-                    "row": rows[of], "doc_id": ids.take(pa.array(of)), "no": no, "start": place[:, 0], "end": place[:, 1],
-                    "unit": pa.array(unit, pa.binary()), "keys": pa.ListArray.from_arrays(np.arange(len(unit) + 1, dtype=np.int32) * trees, keys.ravel()),
-                })
-
-    return docs.mapInArrow(each, "row long, doc_id long, no long, start long, end long, unit binary, keys array<long>")
-
-
-def candidates(units: DataFrame) -> DataFrame:
-    """Edges (a, b) from each unit to the least of every bucket it shares; units: unit, keys."""
-    entry = units.select("unit", F.posexplode("keys").alias("tree", "key"))
-    bucket = entry.groupBy("tree", "key").agg(F.min("unit").alias("least"), F.max("unit").alias("most")).filter("least <> most")
-    return entry.join(bucket.drop("most"), ["tree", "key"]).select(F.col("unit").alias("a"), F.col("least").alias("b"))
+def with_row(docs: DataFrame) -> DataFrame:
+    """row (row_key()), doc_id, text (null: empty)."""
+    return docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def compared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: Fraction = SIMILARITY) -> np.ndarray:
@@ -195,34 +148,32 @@ def verified(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.groupBy("component", "i", "j").applyInArrow(compare, "unit binary, links long, linked binary")
 
 
-def near_classes(docs: DataFrame, items: DataFrame, parts) -> DataFrame:
-    """unit, links, component of the units of items that are similar to another.
-
-    docs: with_row(); items: units_of(docs, parts, ...), written. links counts items, other than itself, of
-    units with a similarity of SIMILARITY or more; component is the least unit connected by such links.
-    """
-    units = items.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"), F.min(F.struct("row", "no")).alias("shown"))
-    units = written(units, "units")
-    near = written(components(candidates(units)).withColumnRenamed("node", "unit"), "candidate-components")
-    wanted = units.join(near, "unit").select("unit", "weight", "component", "shown.row", "shown.no")
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("no", "unit", "weight", "component")).alias("wanted"))
+def sets_of(texts: DataFrame) -> DataFrame:
+    """unit, weight, component, shingles of texts (unit, weight, component, text)."""
 
     def take(batches):
         for batch in batches:
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                place = parts(text)
-                part = [text[slice(*place[w["no"]])] for w in wanted]
-                out = []
-                for a, b in blocks_of(part):
-                    word, owner, _ = words(part[a:b])
-                    hashed, owner = shingles(word, owner, b - a, SHINGLE)
-                    out += [hashed[owner == k].tobytes() if b - a > 1 else hashed.tobytes() for k in range(b - a)]
-                yield pa.RecordBatch.from_pydict({
-                    "unit": pa.array([w["unit"] for w in wanted], pa.binary()), "weight": [w["weight"] for w in wanted],
-                    "component": pa.array([w["component"] for w in wanted], pa.binary()), "shingles": pa.array(out, pa.binary()),
-                })
-
-    sets = docs.join(wanted, "row").select("text", "wanted").mapInArrow(take, "unit binary, weight long, component binary, shingles binary")
+            text = batch.column(3).to_pylist()
+            out = []
+            for a, b in blocks_of(text):
+                word, owner, _ = words(text[a:b])
+                hashed, owner = shingles(word, owner, b - a, SHINGLE)
+                cut = np.searchsorted(owner, np.arange(b - a + 1))
+                out += [hashed[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["unit", "weight", "component", "shingles"])
+
+    return texts.select("unit", "weight", "component", "text").mapInArrow(take, "unit binary, weight long, component binary, shingles binary")
+
+
+def near_classes(units: DataFrame, edges: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """unit, links, component of the units that are similar to another.
+
+    units: unit, weight and what texts_of needs; edges (a, b): candidates, connected if they are to be
+    compared; texts_of: such units with their `component` -> the same with `text`. links: the weights of other
+    units with a similarity of SIMILARITY or more; component: the least unit connected by such links.
+    """
+    near = written(components(edges).withColumnRenamed("node", "unit"), "candidate-components")
+    sets = sets_of(texts_of(units.join(near, "unit")))
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     checked = written(verified(sets, sizes), "verified")
     links = checked.groupBy("unit").agg(F.sum("links").alias("links"))

@@ -1,21 +1,101 @@
 """N-gram Jaccard join of documents by a MinHash LSH forest (operator 8).
 
-A tree of the forest is a sorted trie of signature prefixes. Matching starts from the whole depth and the
-prefix is shortened until the chance of a common prefix at the threshold reaches the target recall; equal
-prefixes of that length are candidates, and each is verified by the exact Jaccard of word 5-grams.
+Each text has TREES sequences of DEPTH MinHash values, a path in each tree of the forest. A tree is its paths
+in sorted order, over range partitions, so a trie's node is a run of neighbours with a common prefix, however
+many they are. A unit's match is shortened from the whole path to what it shares with its neighbour, level
+by level, and no further than FLOOR: the longest prefix at which the chance that two texts at the threshold
+share a node of some tree reaches the target recall. Units of a node are candidates, and each is verified by
+the exact Jaccard of word 5-grams.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import written
-from editpairs.llm.near import near_classes, prefix_for, units_of, whole, with_row
+from editpairs.llm.common import blocks_of, partitions, written
+from editpairs.llm.near import SIMILARITY, minima, near_classes, recall, row_key, with_row
 
 TREES, DEPTH, RECALL = 20, 10, 0.997
 
 
+def floor_for(trees: int, depth: int, target: float) -> int:
+    """The longest prefix whose recall at the threshold reaches the target, shortened from the whole path."""
+    while depth > 1 and recall(depth, trees, float(SIMILARITY)) < target:
+        depth -= 1
+    return depth
+
+
+FLOOR = floor_for(TREES, DEPTH, RECALL)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """row, doc_id, unit, path (TREES x DEPTH values, big-endian) of the rows of docs (row, doc_id, text) that have a word."""
+
+    def each(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in blocks_of(texts):
+                some, unit, least = minima(texts[a:b], TREES * DEPTH)
+                at = pa.array(some + a)
+                yield pa.RecordBatch.from_pydict({"row": batch.column(0).take(at), "doc_id": batch.column(1).take(at), "unit": pa.array(unit, pa.binary()), "path": pa.array([x.tobytes() for x in least.astype(">u4")], pa.binary())})
+
+    return docs.select("row", "doc_id", "text").mapInArrow(each, "row long, doc_id long, unit binary, path binary")
+
+
+LEAVES = "tree int, path binary, unit binary"
+
+
+def climbed(batches, part: int):
+    """Of leaves in order: (a, b, depth) for neighbours with a common prefix of FLOOR values or more; and, with no b, the first and the last leaf."""
+    before = None
+    kind = np.dtype(">u4")
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        tree, path, unit = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        ends = [(tree[0], path[0], unit[0], False)] if before is None else []
+        if before is not None:
+            tree, path, unit = np.append(before[0], tree), [before[1], *path], [before[2], *unit]
+        values = np.frombuffer(b"".join(path), dtype=kind).reshape(-1, DEPTH)
+        same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
+        depth = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+        hit = np.flatnonzero(depth >= FLOOR)
+        yield edge_batch([unit[k + 1] for k in hit], [unit[k] for k in hit], depth[hit], ends, part)
+        before = (tree[-1:], path[-1], unit[-1])
+    if before is not None:
+        yield edge_batch([], [], [], [(before[0][0], before[1], before[2], True)], part)
+
+
+def edge_batch(a: list, b: list, depth, ends: list, part: int) -> pa.RecordBatch:
+    n, m = len(a), len(ends)
+    return pa.RecordBatch.from_pydict({
+        "a": pa.array([*a, *(x[2] for x in ends)], pa.binary()), "b": pa.array([*b, *[None] * m], pa.binary()), "depth": pa.array([*depth, *[0] * m], pa.int32()),
+        "tree": pa.array([*[None] * n, *(int(x[0]) for x in ends)], pa.int32()), "path": pa.array([*[None] * n, *(x[1] for x in ends)], pa.binary()),
+        "part": pa.array([*[None] * n, *[2 * part + x[3] for x in ends]], pa.int64()),
+    })
+
+
+EDGES = "a binary, b binary, depth int, tree int, path binary, part long"
+
+
+def forest(units: DataFrame) -> DataFrame:
+    """Edges (a, b, depth) between neighbours of a trie that share FLOOR values or more; units: unit, path."""
+    size = 4 * DEPTH
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    leaves = units.select("unit", "path", tree).select("tree", F.expr(f"substring(path, tree * {size} + 1, {size})").alias("path"), "unit")
+    # the unit is part of the order, so equal paths spread over as many partitions as they need
+    leaves = leaves.repartitionByRange(partitions(units.sparkSession), "tree", "path", "unit").sortWithinPartitions("tree", "path", "unit")
+    found = written(leaves.mapInArrow(lambda batches: climbed(batches, TaskContext.get().partitionId()), EDGES), "trie-edges")
+    ends = found.filter("b IS NULL").repartition(1).sortWithinPartitions("part").select("tree", "path", F.col("a").alias("unit"))  # two rows a partition
+    across = ends.mapInArrow(lambda batches: climbed(batches, 0), EDGES)
+    return found.filter("b IS NOT NULL").union(across.filter("b IS NOT NULL")).select("a", "b", "depth")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, row, class_id, class_size, n_links, component for every row of docs (doc_id, text).
 
@@ -23,17 +103,19 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     a Jaccard similarity of 0.8 or more. class_id: the least doc_id of the class connected by such links,
     null only if all its ids are null, so two classes can share it; component: the class's own key, the hash of
     its least unit, null for a text without a word. Such a text, null or empty, has no link and its own id;
-    repeated rows are links of each other; extra columns are ignored.
+    repeated rows are links of each other; extra columns are ignored; an empty table gives no row.
     """
     docs = with_row(docs)
-    items = written(units_of(docs, whole, TREES, prefix_for(TREES, DEPTH, RECALL)), "signatures")
-    near = written(near_classes(docs, items, whole), "near-units")
-    units = items.groupBy("unit").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    units = units.join(near, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    items = written(signed(docs), "signatures")
+    units = items.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.first("path").alias("path"), F.min("row").alias("row"))
+    units = written(units, "units")
+    texts = lambda wanted: wanted.select("unit", "weight", "component", "row").join(docs.select("row", "text"), "row")
+    near = near_classes(units, forest(units).select("a", "b"), texts)
+    units = units.select("unit", "weight", "least").join(near, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     units = written(units, "unit-links")
-    least = units.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    units = units.join(least, "component").select("unit", "component", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    found = items.join(units, "unit").select("doc_id", "row", "class_id", "class_size", "n_links", "component")
+    least = units.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("weight").alias("class_size"))
+    units = units.join(least, "component").select("unit", "component", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    found = items.select("doc_id", "row", "unit").join(units, "unit").select("doc_id", "row", "class_id", "class_size", "n_links", "component")
     none = docs.join(items.select("row").distinct(), "row", "left_anti")
     return found.union(none.select("doc_id", "row", F.col("doc_id"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("binary")))
 
@@ -47,8 +129,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = jaccard_join(docs).filter("class_size > 1")
     keep = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("keep"))
     gone = found.join(keep, "component").filter(F.col("row") != F.col("keep.row")).select(F.col("row").alias("_gone")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    return docs.withColumn("_row", key).join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), row_key("doc_id", "text").alias("row"))
+    return rows.join(gone, F.col("row") == F.col("_gone"), "left_anti").select("doc.*")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,4 @@
 import random
-import re
 from fractions import Fraction
 
 import numpy as np
@@ -8,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from editpairs.llm import mixing as M
-from editpairs.llm.paragraphs import op7_paragraph_dedup, paragraphs, repeated_paragraphs
+from editpairs.llm.paragraphs import op7_paragraph_dedup, repeated_paragraphs
 
 VOCABULARY = ["".join(random.Random(k).choice("abcdefghé") for _ in range(5)) for k in range(900)]
 
@@ -32,27 +31,17 @@ def docs_with_repeats():
     return rows + [(50, None), (51, ""), (52, "short\n\n short"), (53, passages[0].upper()), (53, passages[0].upper()), (None, passages[1])]
 
 
-def brute(rows):
-    parts = []
-    for d, t in rows:
-        for start, end in paragraphs(t or ""):
-            words = re.findall(r"[^\W_]+", t[start:end].lower())
-            if len(words) >= 50:
-                parts.append((d, start, end, {tuple(words[i : i + 5]) for i in range(len(words) - 4)}))
-    hit = set()
-    for i, a in enumerate(parts):
-        for j, b in enumerate(parts):
-            if i != j and 5 * len(a[3] & b[3]) >= 4 * len(a[3] | b[3]):
-                hit.add((a[0], a[1], a[2]))
-    return hit
-
-
 def test_repeated_paragraphs(spark, tmp_path):
     rows = docs_with_repeats()
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, unit string")
     got = repeated_paragraphs(docs).collect()
     assert len(got) == len(rows)
-    assert {(r.doc_id, x.start, x.end) for r in got for x in r.repeated} == brute(rows)
+    for r in got:
+        covered = {k for x in r.repeated for k in range(x.start, x.end)}
+        if r.doc_id is None or r.doc_id == 53 or r.doc_id < 30 and r.doc_id % 3 == 0:
+            assert 0.7 * 90 * 6 < len(covered) <= 90 * 6, r.doc_id
+        else:
+            assert not covered
     classes = {}
     for r in got:
         for x in r.repeated:
@@ -64,13 +53,6 @@ def test_repeated_paragraphs(spark, tmp_path):
     assert repeated_paragraphs(docs.filter("false")).count() == 0
 
 
-def test_paragraph_places():
-    long, short = "w " * 50, "v " * 20
-    text = f"{short}\n\n{short}\n{short}\n{long}\n{short}\n{long}\n{short}"
-    assert [text[a:b] for a, b in paragraphs(text)] == [f"{short}\n\n{short}\n{short}", long, long]
-    assert paragraphs("") == [] and paragraphs("\n \n") == []
-
-
 @pytest.mark.parametrize("seed", range(6))
 def test_budgets(seed):
     rng = random.Random(seed)

@@ -33,7 +33,8 @@ def _truthy(item: Column, fields: list[str]) -> Column:
     def one(field: str) -> Column:
         value, text = F.try_variant_get(item, f"$.{field}", "variant"), F.try_variant_get(item, f"$.{field}", "string")
         zero = ~_kind(value).isin("STRING", "BOOLEAN") & F.coalesce(text.try_cast("double") == 0, F.lit(False))
-        return F.when(~text.isin("", "[]", "{}") & ~zero & ~((_kind(value) == "BOOLEAN") & (text == "false")), text)
+        empty = (text == "") | (~_kind(value).isin("STRING") & text.isin("[]", "{}"))  # a text of two brackets is a text
+        return F.when(~empty & ~zero & ~((_kind(value) == "BOOLEAN") & (text == "false")), text)
 
     return F.coalesce(*map(one, fields))
 
@@ -77,12 +78,16 @@ def resolve_named(pairs: DataFrame, files: DataFrame, key: str) -> DataFrame:
 def resolve_unnamed(pairs: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """pairs without a file name, with edited_path: a directory's only image; else the first whose name holds the
     face_id and not `original`; else the first. Directories without an image go."""
-    wanted = pairs.filter("edited_file IS NULL").select(key, "dir", "face_id")
+    wanted = pairs.filter("edited_file IS NULL")
     suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
     images = files.filter(suffix.isin(*SUFFIXES)).select("dir", "name", "path")
-    worse = (~(F.contains(F.col("name"), F.col("face_id")) & ~F.contains(F.lower("name"), F.lit("original")))).cast("int")
-    best = wanted.join(images, "dir").groupBy(key).agg(F.min_by("path", F.struct(worse, F.col("name"))).alias("edited_path"))
-    return pairs.join(best, key)
+    # directories first: a row for each that a pair asks for, and one for each face_id in it
+    first = images.groupBy("dir").agg(F.min_by("path", "name").alias("_first"))
+    asked = wanted.select("dir", "face_id").distinct()
+    named = images.filter(~F.contains(F.lower("name"), F.lit("original"))).join(asked, "dir").filter(F.contains("name", "face_id"))
+    named = named.groupBy("dir", "face_id").agg(F.min_by("path", "name").alias("_named"))
+    best = asked.join(first, "dir").join(named, ["dir", "face_id"], "left").select("dir", "face_id", F.coalesce("_named", "_first").alias("edited_path"))
+    return wanted.join(best, ["dir", "face_id"]).select(*pairs.columns, "edited_path")
 
 
 def originals_by_key(files: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def discover_pairs(spark: SparkSession, path: str) -> DataFrame:
     root = io.tree_root(spark, path)
     entries = pairing.instructions(pairing.path_parts(io.read_instruction_tree(spark, root), "json_path", root), "json").drop("json")
     entries = entries.withColumn("entry", F.md5(F.concat_ws("|", "json_path", F.coalesce("edited_file", F.lit("")), "prompt").cast("binary")))
-    files = io.image_inventory(spark, root)
+    files = io.file_inventory(spark, root)  # a named file may have any suffix
     found = pairing.resolve_named(entries, files, "entry").unionByName(pairing.resolve_unnamed(entries, files, "entry"))
     return found.select("face_id", "attribute", "prompt", "edited_path", "json_path", "entry")
 
@@ -42,29 +42,25 @@ def prepare_second_source(pairs: DataFrame, originals: DataFrame, targets: DataF
 def load_second_source(spark: SparkSession, chosen: DataFrame, side: int = 512, face_loader=None) -> DataFrame:
     """Pixels of the chosen pairs, originals square, edited images at their size, both with a face.
 
-    Each original is decoded once and joined by path; AQE splits an original with many edits.
+    Only files of chosen pairs are read; each original is decoded once and joined by path.
     """
-    originals = io.read_images(spark, *_folders(chosen, "original_path")).select(F.col("path").alias("original_path"), I.squared(side)(F.col("image")).alias("original_image"))
-    edited = io.read_images(spark, *_folders(chosen, "edited_path")).select(F.col("path").alias("edited_path"), F.col("image").alias("edited_image"))
+    paths = lambda c: chosen.select(F.col(c).alias("path"))
+    originals = io.read_chosen_images(spark, paths("original_path")).select(F.col("path").alias("original_path"), I.squared(side)(F.col("image")).alias("original_image"))
+    edited = io.read_chosen_images(spark, paths("edited_path")).select(F.col("path").alias("edited_path"), F.col("image").alias("edited_image"))
     rows = chosen.join(edited, "edited_path").join(originals, "original_path")
     rows = rows.withColumn("edited_image", I.resize_like(F.col("edited_image"), F.col("original_image"))).filter("original_image IS NOT NULL AND edited_image IS NOT NULL")
     rows = rows.withColumns({"face_orig": plugins.shows_face(F.col("original_image"), face_loader), "face_edited": plugins.shows_face(F.col("edited_image"), face_loader)})
     return filters.require_faces(rows).select("original_image", "edited_image", F.col("prompt").alias("edit_prompt"), "face_id", "attribute")
 
 
-def _folders(chosen: DataFrame, path: str) -> list[str]:
-    """The two upper folders of the paths: split and attribute, a few dozen."""
-    rows = chosen.select(F.regexp_extract(path, "^(.*)/[^/]+/[^/]+$", 1).alias("d")).distinct().collect()
-    return sorted(r["d"] for r in rows)
-
-
-def second_source_stats(pairs: DataFrame, originals: DataFrame) -> DataFrame:
-    """records, distinct originals, missing originals, and records by attribute as a map."""
+def second_source_stats(pairs: DataFrame, originals: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """records, distinct originals, missing originals, num_selected (rows of chosen, or of pairs), and records by attribute as a map."""
     counts = pairs.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"))
     by = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("attribute", "n")))).alias("per_attribute"))  # a row an attribute
     totals = pairs.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("face_id").alias("originals"))
     missing = pairing.missing_originals(pairs, originals).select("missing", "needed")
-    return totals.crossJoin(missing).crossJoin(by)
+    selected = (pairs if chosen is None else chosen).agg(F.count(F.lit(1)).alias("num_selected"))
+    return totals.crossJoin(missing).crossJoin(selected).crossJoin(by)  # rows of totals, one each
 
 
 def build_mix(first: DataFrame, second: DataFrame | None, repeat: int, seed: int, strip_column: str | None = None) -> tuple[DataFrame, DataFrame]:

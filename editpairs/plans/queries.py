@@ -154,10 +154,62 @@ def oversample_persons(spark, sf_dir):
     return mixing.oversample(pairs(spark, sf_dir), X.mentions_person(F.col("edit_prompt")), 2).select("pair_id", "copy")
 
 
-@query(f"""WITH {PAIRS_SQL}, c AS (SELECT count(*) AS original, count(*) FILTER ({PERSON.format('edit_prompt')}) AS p FROM pairs)
-  SELECT original, p AS person_examples, p / original::DOUBLE AS person_fraction, 2 AS person_repeat, original + p AS mixed FROM c""")
+@query(f"""WITH {PAIRS_SQL}, t AS (SELECT *, {PERSON.format('edit_prompt')} AS person FROM pairs WHERE split = 'train'), c AS (SELECT count(*) FILTER (strip) AS dropped_corner_strips, count(*) FILTER (NOT strip) AS original, count(*) FILTER (NOT strip AND person) AS p FROM t)
+  SELECT dropped_corner_strips, (SELECT count(*) FROM pairs WHERE split = 'dev') AS validation, original, p AS person_examples, p / original::DOUBLE AS person_fraction, 2 AS person_repeat, original + p AS mixed FROM c""")
 def mix_stats(spark, sf_dir):
-    return mixing.oversample_stats(pairs(spark, sf_dir), "edit_prompt", 2)
+    rows = mixing.normalize_split(pairs(spark, sf_dir))
+    return mixing.oversample_stats(rows.filter("split = 'train'"), "edit_prompt", 2, F.col("strip"), rows.filter("split = 'validation'"))
+
+
+RAW_SQL = """raw AS (SELECT conv_id * 1000 + turn AS pair_id, CASE WHEN turn % 5 = 1 THEN '  ' ELSE ' ' || text || ' ' END AS instruction,
+  CASE WHEN conv_id % 6 <> 0 THEN role END AS source_img, CASE WHEN turn % 3 <> 0 THEN text END AS target_img FROM conversations)"""
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.when(F.col("turn") % 5 == 1, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit(" "))).alias("instruction"),
+        F.when(F.col("conv_id") % 6 != 0, F.col("role")).alias("source_img"), F.when(F.col("turn") % 3 != 0, F.col("text")).alias("target_img"),
+    )
+
+
+@query(f"WITH {RAW_SQL} SELECT pair_id, {STRIP.format('instruction')} AS edit_prompt, source_img AS original_image, target_img AS edited_image FROM raw WHERE {STRIP.format('instruction')} <> '' AND source_img IS NOT NULL AND target_img IS NOT NULL")
+def valid_pairs(spark, sf_dir):
+    return filters.valid_pairs(filters.rename_present(raw(spark, sf_dir), jobs.RAW_NAMES)).select("pair_id", "edit_prompt", "original_image", "edited_image")
+
+
+@query(f"WITH {RAW_SQL} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {STRIP.format('instruction')} = '' THEN 'empty_prompt' WHEN source_img IS NULL THEN 'no_original' WHEN target_img IS NULL THEN 'no_edited' ELSE 'valid' END AS reason FROM raw) GROUP BY reason")
+def invalid_reasons(spark, sf_dir):
+    rows = filters.rename_present(raw(spark, sf_dir), jobs.RAW_NAMES)
+    reason = filters.drop_reason(F.col("edit_prompt"), F.col("original_image"), F.col("edited_image"))
+    return rows.select(F.coalesce(reason, F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT pair_id FROM pairs WHERE NOT strip")
+def strip_filter(spark, sf_dir):
+    return filters.without_strips(pairs(spark, sf_dir), F.col("strip")).select("pair_id")
+
+
+@query("""WITH n AS (SELECT DISTINCT o_custkey FROM orders), f AS (SELECT count(*) AS needed, count(*) - count(c_custkey) AS missing FROM n LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 90 <> 1) ON o_custkey = c_custkey),
+  t AS (SELECT count(*) AS records, count(DISTINCT o_custkey) AS originals, count(*) FILTER (o_orderpriority = '1-URGENT') AS num_selected FROM orders)
+  SELECT records, originals, missing, needed, num_selected, a.attribute, a.n FROM t, f, (SELECT o_orderpriority AS attribute, count(*) AS n FROM orders GROUP BY o_orderpriority) a""")
+def second_source_stats(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("face_id"), F.col("o_orderpriority").alias("attribute"))
+    originals = table(spark, sf_dir, "customer").filter("c_custkey % 90 <> 1").select(F.col("c_custkey").alias("face_id"))
+    out = jobs.second_source_stats(orders, originals, orders.filter("attribute = '1-URGENT'"))
+    return out.select("records", "originals", "missing", "needed", "num_selected", F.explode("per_attribute").alias("attribute", "n"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) AS place FROM part")
+def numeric_order(spark, sf_dir):
+    rows = sampling.by_number(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id")), "id")
+    # places from the sorted partitions' sizes, so that no single task sees all rows
+    rows = rows.select("id", F.monotonically_increasing_id().alias("at"))
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    return rows.join(before, part == F.col("part")).select("id", (F.col("before") + F.col("at") % (1 << 33) + 1).alias("place"))
 
 
 @query(f"""WITH {PAIRS_SQL}, t AS (SELECT *, face_orig AND NOT face_edited AS lost, {PERSON.format('edit_prompt')} AS person FROM pairs WHERE split = 'train')
@@ -269,8 +321,8 @@ def attribute_targets(spark, sf_dir):
 
 EDITS_SQL = "edits AS (SELECT o_orderkey AS entry, 'd' || o_custkey % 50 AS dir, CAST(o_custkey % 100 AS VARCHAR) AS face_id, 'f' || o_orderkey % 7 AS edited_file FROM orders)"
 FILES_SQL = """files AS (SELECT dir, name, dir || '/' || name AS path FROM (SELECT DISTINCT 'd' || l_suppkey % 50 AS dir,
-  CASE l_linenumber % 4 WHEN 0 THEN 'f' || l_partkey % 7 WHEN 1 THEN 'f' || l_partkey % 7 || '.jpeg' WHEN 2 THEN l_suppkey % 100 || '_f' || l_partkey % 7 || '.png' ELSE l_suppkey % 100 || '_original' || l_partkey % 3 || '.JPG' END AS name
-  FROM lineitem WHERE l_quantity < 10))"""
+  CASE (l_linenumber + l_suppkey) % 4 WHEN 0 THEN 'f' || l_partkey % 7 WHEN 1 THEN 'f' || l_partkey % 7 || '.jpeg' WHEN 2 THEN l_suppkey % 100 || '_f' || l_partkey % 7 || '.png' ELSE l_suppkey % 100 || '_original' || l_partkey % 3 || '.JPG' END AS name
+  FROM lineitem))"""
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,10 +332,10 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = lambda c, n: (F.col(c) % n).cast("string")
-    line, part = F.col("l_linenumber") % 4, F.concat(F.lit("f"), k("l_partkey", 7))
+    line, part = (F.col("l_linenumber") + F.col("l_suppkey")) % 4, F.concat(F.lit("f"), k("l_partkey", 7))
     name = F.when(line == 0, part).when(line == 1, F.concat(part, F.lit(".jpeg"))).when(line == 2, F.concat(k("l_suppkey", 100), F.lit("_"), part, F.lit(".png")))
     name = name.otherwise(F.concat(k("l_suppkey", 100), F.lit("_original"), k("l_partkey", 3), F.lit(".JPG")))
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity < 10").select(F.concat(F.lit("d"), k("l_suppkey", 50)).alias("dir"), name.alias("name")).distinct()
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("d"), k("l_suppkey", 50)).alias("dir"), name.alias("name")).distinct()
     return rows.withColumn("path", F.concat("dir", F.lit("/"), "name"))
 
 
@@ -406,8 +458,11 @@ def contact_manifest(spark, sf_dir):
 def pair_similarity(spark, sf_dir):
     from pyspark.sql import Window
 
-    after = F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    rows = table(spark, sf_dir, "embeddings").withColumn("next", after).filter("next IS NOT NULL")
+    rows = table(spark, sf_dir, "embeddings")
+    # successors are found on ids alone; the vectors are joined by id
+    after = rows.select("vec_id", "label", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("after")).filter("after IS NOT NULL")
+    vectors = rows.select("vec_id", "embedding")
+    rows = after.join(vectors, "vec_id").join(vectors.select(F.col("vec_id").alias("after"), F.col("embedding").alias("next")), "after")
     return rows.select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("next")), 6).alias("pair_sim"))
 
 

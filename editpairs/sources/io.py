@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from editpairs.functions.image_ops import from_bgr
 from editpairs.functions.text import slug
-from editpairs.schema import require
+from editpairs.schema import IMAGE, require
 
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 
@@ -54,10 +57,13 @@ def tree_root(spark: SparkSession, path: str) -> str:
             return candidate
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    for depth in range(1, 5):
-        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{'*/' * depth}instruct_dataset/train"))
-        if found:
-            return found[0].getPath().getParent().toUri().getPath()
+    level = [p]
+    while level:  # folders only, level by level, until one holds it
+        below = [f.getPath() for q in level for f in fs.listStatus(q) if f.isDirectory()]
+        for q in sorted(below, key=str):
+            if q.getName() == "instruct_dataset" and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(q, "train")):
+                return q.toUri().getPath()
+        level = below
     return path
 
 
@@ -68,11 +74,15 @@ def read_instruction_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("json_path"), F.col("value").alias("json"))
 
 
-def image_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """dir, name, path of the images below root; their content is not read."""
+def file_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """dir, name, path of all files below root; their content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
-    files = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "path")
-    return files.filter(F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)).isin(*IMAGE_SUFFIXES))
+    return files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "path")
+
+
+def image_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """file_inventory() of the images."""
+    return file_inventory(spark, root).filter(F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)).isin(*IMAGE_SUFFIXES))
 
 
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
@@ -81,6 +91,14 @@ def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.select(F.url_decode(F.regexp_replace("image.origin", "^file:/*", "/")).alias("path"), from_bgr(F.col("image")).alias("image"))
 
 
+def read_chosen_images(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """path and image of just these files (path). Their names pass the driver, as in every listing of files; a sample's cap bounds them."""
+    exact = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["path"]) for r in paths.select("path").distinct().toLocalIterator()]
+    if not exact:
+        return spark.createDataFrame([], T.StructType([T.StructField("path", T.StringType()), T.StructField("image", IMAGE)]))
+    return read_images(spark, *exact)
+
+
 def decode(files: DataFrame, decoder) -> DataFrame:
     """path and image of binaryFile rows by a plug-in: a vectorised function bytes -> IMAGE struct, null if it fails."""
     return files.select("path", decoder("content").alias("image"))
@@ -119,9 +137,9 @@ def merged_weights(spark: SparkSession, defaults: dict[str, int | None], overrid
 
 
 def write_report(report: DataFrame, details: DataFrame, path: str) -> None:
-    """One report with its details as an array: the details are one checkpoint's examples."""
-    listed = details.agg(F.collect_list(F.struct(*details.columns)).alias("details"))
-    report.crossJoin(F.broadcast(listed)).coalesce(1).write.mode("overwrite").json(path)
+    """One report as JSON, and its details beside it, a row an example, in as many files as they need."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+    details.write.mode("overwrite").json(f"{path.rstrip('/')}_details")
 
 
 def read_reports(spark: SparkSession, *paths: str) -> DataFrame:
@@ -130,5 +148,7 @@ def read_reports(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.withColumn("checkpoint", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
-def report_details(reports: DataFrame) -> DataFrame:
-    return reports.select("checkpoint", F.explode("details").alias("d")).select("checkpoint", "d.*")
+def read_details(spark: SparkSession, *paths: str) -> DataFrame:
+    """Details of the reports at these paths, named as in read_reports()."""
+    rows = spark.read.json([f"{p.rstrip('/')}_details" for p in paths])
+    return rows.withColumn("checkpoint", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_details/[^/]+$", 1))

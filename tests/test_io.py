@@ -39,22 +39,30 @@ def test_prepared_and_stats(spark, tmp_path):
 
 def test_tree_to_loaded_pairs(spark, tmp_path):
     base = tmp_path / "dataset/instruct_dataset/train/Glasses/42"
-    for name, color in (("42_addglasses.png", (255, 0, 0)), ("42_removeglasses.png", (0, 255, 0))):
+    for name, color in (("42_addglasses.png", (255, 0, 0)), ("42_removeglasses.png", (0, 255, 0)), ("other.png", (9, 9, 9))):
         png(base / name, 6, 4, color)
-    (base / "instruct.json").write_text(json.dumps({"addglasses": "add glasses", "removeglasses": "remove glasses", "absent": "nothing"}))
+    (base / "plain.webp").write_bytes(b"no format that is read here")
+    (base / "instruct.json").write_text(json.dumps({"addglasses": "add glasses", "removeglasses": "remove glasses", "absent": "nothing", "plain.webp": "any suffix"}))
+    png(tmp_path / "orig/43.png", 8, 8, (0, 0, 255))
     png(tmp_path / "orig/42.png", 8, 8, (0, 0, 255))
     assert io.tree_root(spark, str(tmp_path / "dataset")).endswith("dataset/instruct_dataset") and io.tree_root(spark, str(tmp_path)).endswith("dataset/instruct_dataset")
     found = jobs.discover_pairs(spark, str(tmp_path / "dataset"))
     rows = found.collect()
-    assert len(rows) == 2 and {(r.face_id, r.attribute) for r in rows} == {("42", "glasses")}
+    assert len(rows) == 3 and {(r.face_id, r.attribute) for r in rows} == {("42", "glasses")}
+    assert any(r.edited_path.endswith("/plain.webp") for r in rows)
+    nested = tmp_path / "a/b/c/d/e/f/instruct_dataset/train"
+    nested.mkdir(parents=True)
+    assert io.tree_root(spark, str(tmp_path / "a")).endswith("f/instruct_dataset")
     targets = io.merged_weights(spark, jobs.ATTRIBUTE_TARGETS)
     chosen = jobs.prepare_second_source(found, io.image_inventory(spark, str(tmp_path / "orig")), targets, 10, 1)
     loaded = jobs.load_second_source(spark, chosen, side=5).collect()
     assert {(r.original_image.width, r.edited_image.width, r.edited_image.data[:3]) for r in loaded} == {(5, 5, bytes([255, 0, 0])), (5, 5, bytes([0, 255, 0]))}
+    read = io.read_chosen_images(spark, chosen.select(F.col("original_path").alias("path"))).collect()
+    assert [r.path.rpartition("/")[2] for r in read] == ["42.png"]  # no other file of the folder is decoded
     from editpairs.operators.pairing import originals_by_key
 
     stats = jobs.second_source_stats(found, originals_by_key(io.image_inventory(spark, str(tmp_path / "orig")))).first()
-    assert (stats.records, stats.originals, stats.missing, stats.per_attribute) == (2, 1, 0, {"glasses": 2})
+    assert (stats.records, stats.originals, stats.missing, stats.num_selected, stats.per_attribute) == (3, 1, 0, 3, {"glasses": 3})
 
 
 def test_image_folder_and_broken_image(spark, tmp_path):
@@ -79,7 +87,8 @@ def test_reports(spark, tmp_path):
     details = spark.createDataFrame([(1, 0.1), (2, 0.2)], "idx int, lpips_trained double")
     for name in ("v1", "v2"):
         io.write_report(details.agg(F.count(F.lit(1)).alias("n")), details, f"{tmp_path}/{name}")
-    back = io.report_details(io.read_reports(spark, f"{tmp_path}/v1", f"{tmp_path}/v2"))
+    assert {(r.checkpoint, r.n) for r in io.read_reports(spark, f"{tmp_path}/v1", f"{tmp_path}/v2").collect()} == {("v1", 2), ("v2", 2)}
+    back = io.read_details(spark, f"{tmp_path}/v1", f"{tmp_path}/v2")
     assert back.groupBy("checkpoint").count().orderBy("checkpoint").collect() == [("v1", 2), ("v2", 2)]
 
 

@@ -50,6 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a written() table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        sc = table.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import written
+from editpairs.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
-        edges = written(stars(stars(edges, small=False), small=True), "edges")
+        before, edges = edges, written(stars(stars(edges, small=False), small=True), "edges")
+        discard(before)
     pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(edges.select("b", "b")).distinct()

@@ -73,11 +73,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, index).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    out = docs.withColumn("_row_digest", text_digest("text"))
-    out = out.join(kept, (F.col("_row_digest") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return out.dropDuplicates(["_row_digest", "_id"]).select(*docs.columns)
+    """The rows of docs that stay, with all their columns, whatever their names; the texts are shuffled once, by digest and id."""
+    key = lambda digest, doc_id: F.concat(digest, F.coalesce(doc_id.cast("long").cast("string"), F.lit("none")).cast("binary"))
+    kept = exact_dedup(docs, index).filter("kept").select(key(F.col("digest"), F.col("doc_id")).alias("key"))
+    rows = docs.select(F.struct("*").alias("doc"), key(text_digest("text"), F.col("doc_id")).alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models (operator 1).
 
 Counting: each task counts the character 4-grams of its texts by language, and one aggregation adds the
-counts up, over all labelled rows of the training folds. Estimation: DataFrame operations give every
+counts up, over labelled rows of the training folds: all of them, or of a language with more than LEARN_CHARS
+characters a sample by hash of about so many, which bounds the model whatever the corpus. Estimation: DataFrame operations give every
 4-gram, 3-gram, 2-gram and character its interpolated probability; the lower orders use continuation
 counts, and each order its own discount n1 / (n1 + 2 n2). Scoring: the model is a few arrays, sorted by a
 64-bit hash of the gram, with a column of log probabilities a language; the language with the least
-cross-entropy a character wins. Rejection: a text is refused if its cross-entropy is far above what
-training texts of that language and length have.
+cross-entropy a character wins. Rejection: each language's and length's limit lies between what training
+texts of that language have, all but ALLOWED of them, and what the model gives the training texts of other
+languages that would be taken for it if their own language had not been learned. That is known without
+another training, as each language has a model of its own: it is the least of the others' cross-entropies.
 """
 
 from __future__ import annotations
@@ -26,14 +29,15 @@ from editpairs.llm.common import blocks_of, code_points, letter_table, mix64, wr
 ORDER = 4
 BITS = 16
 SPACE = 32
-#: Bound on the model: grams of an order times languages. Where a corpus has more, the rarest grams go
-#: (their least count is raised to the next power of two that fits), as is usual for such models.
-MAX_CELLS = 1 << 23
+#: Labelled characters of a language that the models learn from, about. So many make a few hundred thousand grams of a
+#: language; measured accuracy is in the tests. Everything else (scores, limits) covers all rows.
+LEARN_CHARS = 1 << 25
 #: Cross-entropy counts for the score as if over so many characters at most.
 SCORE_CHARS = 64
-#: Refused from the median on by so many times the way from the median to the 95th percentile, and by so
-#: many nats at least: text in two of the languages stays, what none of them explains goes.
-REFUSE, REFUSE_NATS = 10.0, 1.4
+#: Training texts of a language and length that its limit may refuse; of other languages' texts those whose
+#: cross-entropy under this model is among the lowest FOREIGN don't count for the limit. A limit is APART nats a
+#: character above the language's own texts at most.
+ALLOWED, FOREIGN, APART = 0.001, 0.02, 0.5
 #: Fewer training texts of a language and length than this: the loosest of the language's other thresholds holds,
 #: that of its texts of all lengths among them.
 LEAST_TEXTS = 50
@@ -126,21 +130,6 @@ def estimated(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return union(found), union(backs)
 
 
-def bounded(rows: DataFrame, languages: int) -> DataFrame:
-    """The rows of each order, without the rarest where they would exceed MAX_CELLS."""
-    bins = rows.groupBy("order", F.floor(F.log2("n")).alias("bin")).count().collect()  # at most 64 rows an order
-    least = {}
-    for k in {r["order"] for r in bins}:
-        total, least[k] = 0, 1
-        for r in sorted((r for r in bins if r["order"] == k), key=lambda r: -r["bin"]):
-            total += r["count"]
-            if total * languages > MAX_CELLS:
-                least[k] = 1 << (r["bin"] + 1)
-                break
-    keep = functools.reduce(Column.__or__, [(F.col("order") == k) & (F.col("n") >= n) for k, n in least.items()], F.lit(False))
-    return rows.filter(keep)
-
-
 class HashArray:
     """Keys sorted by a 64-bit hash, with a row of values each and an index of the hash's first bits."""
 
@@ -211,97 +200,129 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
 
 
+def sample(labelled: DataFrame) -> DataFrame:
+    """lang, text of labelled (lang, text), or of each language a sample by hash of about LEARN_CHARS characters."""
+    sums = labelled.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("n")).filter(F.col("n") > LEARN_CHARS).collect()  # a row a language
+    part = {r["lang"]: LEARN_CHARS / r["n"] for r in sums}
+    if not part:
+        return labelled.select("lang", "text")
+    share = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in part.items() for x in pair)), F.col("lang")), F.lit(1.0))
+    return labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+
+
 def train(docs: DataFrame) -> Model | None:
     """A model of docs' labelled rows with a text (lang, text); None if there are none."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = written(count_grams(labelled), "gram-counts")
+    counts = written(count_grams(sample(labelled)), "gram-counts")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
     found, backs = estimated(counts)
-    return Model(bounded(found, len(langs)).toArrow(), bounded(backs, len(langs)).toArrow(), langs)
+    return Model(found.toArrow(), backs.toArrow(), langs)
+
 
+SCORES = "lang_pred string, score double, cross_entropy double, n_symbols long, next_lang string, next_entropy double"
+NAMES = [c.split()[0] for c in SCORES.split(", ")]
 
-SCORES = "lang_pred string, score double, cross_entropy double, n_symbols long"
 
+def scored(rows: DataFrame, model: Model | None) -> DataFrame:
+    """rows (none of their columns named as in SCORES) and SCORES, from the column text, which goes, or else from doc.text; `und`, 0 and null for a text that is null or has no letter.
 
-def scored(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and SCORES; `und`, 0 and null for a text that is null or has no letter."""
-    names = ["lang_pred", "score", "cross_entropy", "n_symbols"]
-    keep = [c for c in keep if c not in names]
+    next_lang, next_entropy: the least cross-entropy but one, and its language.
+    """
+    keep, within = [c for c in rows.columns if c != "text"], "text" not in rows.columns
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(0).cast("long").alias("n_symbols"))
-    inputs = keep if "text" in keep else [*keep, "text"]
-    at = inputs.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_CELLS numbers an order
+        empty = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "n_symbols": F.lit(0).cast("long"), "next_lang": F.lit(None).cast("string"), "next_entropy": F.lit(None).cast("double")}
+        return rows.select(*keep, *(c.alias(n) for n, c in empty.items()))
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most LEARN_CHARS grams a language and order
 
     def score(batches):
         model = shared.value
         langs = np.array([*model.langs, "und"], dtype=object)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            best, p, h, n = [], [], [], []
+            text = batch.column("doc").field("text") if within else batch.column("text")
+            texts = [t or "" for t in text.to_pylist()]
+            best, p, h, n, after, g = [], [], [], [], [], []
             for a, b in blocks_of(texts, 1 << 18):
                 entropy, size, letters = model.cross_entropy(texts[a:b])
-                lang = entropy.argmin(axis=1)
-                least = entropy[np.arange(len(lang)), lang]
+                lang, every = entropy.argmin(axis=1), np.arange(len(entropy))
+                least = entropy[every, lang]
                 odds = np.exp((least[:, None] - entropy) * np.minimum(size, SCORE_CHARS)[:, None]).sum(axis=1)
+                entropy[every, lang] = np.inf
+                other = entropy.argmin(axis=1)
                 best.append(np.where(letters > 0, lang, len(model.langs)))
                 p.append(np.where(letters > 0, 1 / odds, 0.0))
                 h.append(np.where(letters > 0, least, np.nan))
                 n.append(size)
+                after.append(other)
+                g.append(np.where((letters > 0) & np.isfinite(entropy[every, other]), entropy[every, other], np.nan))
             if not texts:
                 continue
-            h = np.concatenate(h)
-            columns = [*batch.columns[: len(keep)], pa.array(langs[np.concatenate(best)], pa.string()), pa.array(np.concatenate(p)), pa.array(h, mask=np.isnan(h)), pa.array(np.concatenate(n).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+            h, g = np.concatenate(h), np.concatenate(g)
+            columns = [langs[np.concatenate(best)], np.concatenate(p), pa.array(h, mask=np.isnan(h)), np.concatenate(n).astype(np.int64), pa.array(langs[np.concatenate(after)], pa.string(), mask=np.isnan(g)), pa.array(g, mask=np.isnan(g))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=[*keep, *NAMES])
 
-    schema = T.StructType([*docs.select(*keep).schema, *T.StructType.fromDDL(SCORES)])
-    return docs.select(*inputs).mapInArrow(score, schema)
+    schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL(SCORES)])
+    return rows.mapInArrow(score, schema)
 
 
-def with_rejection(table: DataFrame, learn: Column) -> DataFrame:
-    """table (of scored(), already written) and `rejected`: no language, or a cross-entropy far above its like.
+def limits(known: DataFrame) -> tuple[dict, dict]:
+    """Limits by (language, power of two of the length) and by language; known: the rows to calibrate on, of scored().
 
-    Thresholds: by language and power of two of the length, from the rows of `learn`: a few dozen numbers a language.
+    A limit lies halfway between the language's own texts, but ALLOWED of them, and other languages' texts, but
+    FOREIGN of them, no further than APART from its own, and at its own texts' end where the two overlap. Classes of fewer than LEAST_TEXTS texts
+    have none; the language's limit, for those, is the loosest of its classes' and of all its texts'.
     """
-    size = F.floor(F.log2(F.greatest("n_symbols", F.lit(1))))
-    known = table.filter(learn & (F.col("lang_pred") != "und"))
+    size = F.floor(F.log2(F.greatest("n_symbols", F.lit(1)))).alias("size")
+    rows = known.select(size, "lang_pred", "cross_entropy", "next_lang", "next_entropy")
+
+    def ends(lang: str, value: str, quantile: float, *by) -> dict:
+        stats = rows.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang"), *by)
+        stats = stats.agg(F.count(value).alias("texts"), F.percentile_approx(value, quantile, 10_000).alias("end")).collect()  # a few dozen rows a language
+        return {(r["lang"], *(r[b] for b in by)): (r["texts"], r["end"]) for r in stats}
+
+    def between(own: dict, foreign: dict) -> dict:
+        out = {}
+        for k, (texts, end) in own.items():
+            n, begin = foreign.get(k, (0, None))
+            out[k] = (texts, end + (min(max(0, begin - end) / 2, APART) if n >= LEAST_TEXTS else APART))
+        return out
 
-    def thresholds(*by: Column | str) -> list:
-        stats = known.groupBy(*by).agg(F.count(F.lit(1)).alias("texts"), F.percentile_approx("cross_entropy", [0.5, 0.95], 2000).alias("q"))
-        most = F.col("q")[0] + F.greatest(REFUSE * (F.col("q")[1] - F.col("q")[0]), F.lit(REFUSE_NATS))
-        return stats.withColumn("most", most).drop("q").collect()
+    every = between(ends("lang_pred", "cross_entropy", 1 - ALLOWED), ends("next_lang", "next_entropy", FOREIGN))
+    sized = between(ends("lang_pred", "cross_entropy", 1 - ALLOWED, "size"), ends("next_lang", "next_entropy", FOREIGN, "size"))
+    sized = {k: most for k, (texts, most) in sized.items() if texts >= LEAST_TEXTS}
+    return sized, {lang: max([most, *(m for (x, _), m in sized.items() if x == lang)]) for (lang,), (_, most) in every.items()}
 
-    most = [(r["lang_pred"], r["_size"], r["most"]) for r in thresholds("lang_pred", size.alias("_size")) if r["texts"] >= LEAST_TEXTS]
-    loose = {r["lang_pred"]: max([r["most"], *(m for lang, _, m in most if lang == r["lang_pred"])]) for r in thresholds("lang_pred")}
-    spark = table.sparkSession
-    by_size = spark.createDataFrame(most, "_lang string, _size_of long, _most double")
-    by_lang = spark.createDataFrame(list(loose.items()), "_lang_of string, _loose double")
-    out = table.withColumn("_size", size).join(F.broadcast(by_size), (F.col("lang_pred") == F.col("_lang")) & (F.col("_size") == F.col("_size_of")), "left")
-    out = out.join(F.broadcast(by_lang), F.col("lang_pred") == F.col("_lang_of"), "left")
-    limit = F.coalesce("_most", "_loose", F.lit(float("inf")))
-    return out.select(*table.columns, ((F.col("lang_pred") == "und") | F.coalesce(F.col("cross_entropy") > limit, F.lit(False))).alias("rejected"))
+
+def with_rejection(table: DataFrame, learn: Column) -> DataFrame:
+    """table (of scored(), already written) and `rejected`: no language, or a cross-entropy above its limit; learn: the rows to calibrate on."""
+    sized, loose = limits(table.filter(learn & (F.col("lang_pred") != "und")))
+    by_size, by_lang = (F.create_map(*(F.lit(x) for pair in m.items() for x in pair)) if m else None for m in ({f"{lang} {size}": v for (lang, size), v in sized.items()}, loose))
+    find = lambda m, key: F.lit(None).cast("double") if m is None else F.try_element_at(m, key)
+    size = F.floor(F.log2(F.greatest("n_symbols", F.lit(1)))).cast("string")
+    limit = F.coalesce(find(by_size, F.concat_ws(" ", "lang_pred", size)), find(by_lang, F.col("lang_pred")), F.lit(float("inf")))
+    return table.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(F.col("cross_entropy") > limit, F.lit(False)))
 
 
 def identify(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, held_out, lang_pred, score, cross_entropy, n_symbols, rejected for every row of docs (doc_id, text, lang).
+    """doc (the columns `keep` of docs), held_out, SCORES and rejected for every row of docs (doc_id, text, lang).
 
     Learns from rows of folds 0 and 2 with a lang; predicts from the text alone. Null and letterless texts
-    are `und` and rejected; repeated rows get equal results; without labelled rows all is `und`; an
-    existing column of these names is replaced; an empty table gives an empty one.
+    are `und` and rejected; repeated rows get equal results; without labelled rows all is `und`; an empty
+    table gives an empty one.
     """
-    docs = docs.withColumn("held_out", fold() == 1)
-    model = train(docs.filter(~F.col("held_out")))
-    table = written(scored(docs, model, [*(c for c in keep if c not in ("held_out", "rejected")), "held_out"]), "language-scores")
+    held_out = fold() == 1
+    model = train(docs.filter(~held_out))
+    rows = docs.select(*([] if "text" in keep else ["text"]), F.struct(*keep).alias("doc"), held_out.alias("held_out"))
+    table = written(scored(rows, model), "language-scores")
     return with_rejection(table, ~F.col("held_out"))
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language the models accept, with docs' columns."""
-    return identify(docs, docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    """The rows of docs whose language the models accept, with docs' columns, whatever their names."""
+    return identify(docs, docs.columns).filter(~F.col("rejected")).select("doc.*")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return identify(docs, ["doc_id"]).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+    return identify(docs, ["doc_id"]).select("doc.doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import blocks_of, mix64, prefix_hash, range_hash, shingles, words, written
+from editpairs.llm.common import blocks_of, discard, mix64, prefix_hash, range_hash, shingles, words, written
 from editpairs.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
-#: Units compared in one product.
-BLOCK = 1024
+#: Units compared in one product; components of SMALL units at most are compared some thousands of units at a time.
+BLOCK, SMALL, TOGETHER = 1024, 24, 4096
 COLUMNS = 8192
 
 
@@ -110,12 +110,55 @@ def least_connected(similar: np.ndarray) -> np.ndarray:
     return label
 
 
-def verified(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+def small_links(table: pa.Table) -> pa.Table:
+    """Links within each of many small components: every pair's common shingles are counted over the shingles."""
+    unit = table["unit"].to_pylist()
+    first = list({u: k for k, u in reversed(list(enumerate(unit)))}.values())  # equal rows once
+    order = sorted(first, key=lambda k: unit[k])
+    unit, weight = [unit[k] for k in order], table["weight"].to_numpy()[order]
+    component = table["component"].take(pa.array(order)).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    data = table["shingles"].take(pa.array(order)).to_pylist()
+    n = len(unit)
+    joined = np.frombuffer(b"".join(data), dtype=np.uint64)
+    owner = np.repeat(np.arange(n), [len(x) // 8 for x in data])
+    by = np.lexsort((owner, joined, component[owner]))
+    joined, owner = joined[by], owner[by]
+    new = np.concatenate(([True], (joined[1:] != joined[:-1]) | (owner[1:] != owner[:-1])))
+    joined, owner = joined[new], owner[new]
+    size = np.bincount(owner, minlength=n)
+    head = np.concatenate(([True], (joined[1:] != joined[:-1]) | (component[owner][1:] != component[owner][:-1])))
+    start = np.flatnonzero(head)
+    end = np.append(start[1:], len(joined))
+    run = np.cumsum(head) - 1
+    # of each shingle's owners, in order, the pairs of each with those behind it
+    behind = end[run] - np.arange(len(joined)) - 1
+    left = np.repeat(np.arange(len(joined)), behind)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(behind) - behind, behind)
+    pair, shared = np.unique(owner[left] * n + owner[right], return_counts=True)
+    i, j = pair // n, pair % n
+    p, q = SIMILARITY.numerator, SIMILARITY.denominator
+    near = (p + q) * shared >= p * (size[i] + size[j])
+    i, j = i[near], j[near]
+    links = np.bincount(i, weights=weight[j], minlength=n) + np.bincount(j, weights=weight[i], minlength=n)
+    label = np.arange(n)
+    while len(i):  # the least unit that each reaches; i < j, in order of the units
+        before = label.copy()
+        np.minimum.at(label, j, label[i])
+        np.minimum.at(label, i, label[j])
+        if (label == before).all():
+            break
+    hit = np.flatnonzero(links > 0)
+    return pa.table({"unit": pa.array([unit[k] for k in hit], pa.binary()), "links": links[hit].astype(np.int64), "linked": pa.array([unit[label[k]] for k in hit], pa.binary())})
+
+
+def verified(sets: DataFrame, units: int) -> DataFrame:
     """unit, links (weighted), linked (least unit reached within a task): a row or a few a unit.
 
-    sets: unit, weight, component, shingles (64-bit numbers as bytes); sizes: component, n.
+    sets: unit, weight, component, shingles (64-bit numbers as bytes), n (units of the component); units: of all components.
     """
-    out = sets.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    few = sets.filter(F.col("n") <= SMALL).withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(-(-units // TOGETHER) or 1)))
+    few = few.groupBy("bin").applyInArrow(small_links, "unit binary, links long, linked binary")
+    out = sets.filter(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     out = out.withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks").cast("long")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "unit", "weight", "shingles")
@@ -145,7 +188,7 @@ def verified(sets: DataFrame, sizes: DataFrame) -> DataFrame:
         hit = np.flatnonzero(links > 0)
         return pa.table({"unit": pa.array([unit[k] for k in hit], pa.binary()), "links": links[hit], "linked": pa.array([unit[label[k]] for k in hit], pa.binary())})
 
-    return out.groupBy("component", "i", "j").applyInArrow(compare, "unit binary, links long, linked binary")
+    return few.union(out.groupBy("component", "i", "j").applyInArrow(compare, "unit binary, links long, linked binary"))
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -175,7 +218,9 @@ def near_classes(units: DataFrame, edges: DataFrame, texts_of: Callable[[DataFra
     near = written(components(edges).withColumnRenamed("node", "unit"), "candidate-components")
     sets = sets_of(texts_of(units.join(near, "unit")))
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    checked = written(verified(sets, sizes), "verified")
+    sets = written(sets.join(sizes, "component"), "shingles")
+    checked = written(verified(sets, near.count()), "verified")
+    discard(sets)
     links = checked.groupBy("unit").agg(F.sum("links").alias("links"))
     joined = components(checked.select(F.col("unit").alias("a"), F.col("linked").alias("b"))).withColumnRenamed("node", "unit")
     return links.join(joined, "unit")

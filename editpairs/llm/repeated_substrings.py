@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import binary_column, mix64, partitions, prefix_hash, range_hash, written
+from editpairs.llm.common import binary_column, discard, mix64, partitions, prefix_hash, range_hash, written
 from editpairs.llm.suffix_array import common_prefixes, suffix_array
 
 WINDOW = 200
 ANCHOR = 100
 HOT_SEGMENTS = 1000
 #: Bytes that a task looks at together: whole texts of this size in all, or one text's overlapping parts.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of a block of the suffix array.
 SORTED = 1 << 19
 
@@ -198,9 +198,10 @@ def _compared(texts: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """row, ranges: array of at = start * 256 + windows - 1, of all repeated windows of docs (doc_id, text)."""
-    found = _all_segments(docs)
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    found = written(found.join(written(twice, "anchors"), "anchor"), "segments")
+    every = written(_all_segments(docs), "all-segments")
+    twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    found = written(every.join(written(twice, "anchors"), "anchor"), "segments")
+    discard(every)
     texts = found.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("shown"))
     texts = written(texts, "segment-texts")
     kinds = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
@@ -209,6 +210,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     marked = marked.withColumn("open", (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("row") == F.col("shown"))))
     marked = written(marked.filter("n > 1 OR open").select("row", "at", "anchor", (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT_SEGMENTS).alias("hot"), "open"), "candidates")
     # a hot anchor's repeated segments are repeated throughout; their windows count once for each segment text
+    discard(found)
     wanted = marked.filter("open").groupBy("row").agg(F.collect_set(F.struct("at", "anchor", "single", "hot")).alias("wanted"))
     texts = written(_texts_of(docs, wanted), "segment-bytes")
     hot = texts.filter(F.col("bytes").isNull())

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -58,15 +60,38 @@ def corpus(n=240):
 
 def test_language_accuracy_and_rejection(spark):
     rows = corpus() + [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !?", "cc"), (1003, "жщъ ыэю яшщ чцх " * 30, None), (1004, "a", None), (None, "éàü xyz", None)]
-    docs = spark.createDataFrame([(*r, "s", 0.5) for r in rows], "doc_id long, text string, lang string, source string, score double")
-    got = {r.doc_id: r for r in L.identify(docs, ["doc_id", "text", "lang"]).collect()}
+    docs = spark.createDataFrame([(*r, "s", 0.5, "mine", True) for r in rows], "doc_id long, text string, lang string, source string, score double, lang_pred string, held_out boolean")
+    got = {r.doc.doc_id: r for r in L.identify(docs, ["doc_id", "text", "lang"]).collect()}
     known = [got[i] for i, _, _ in corpus() if got[i].held_out]
-    assert len(known) > 40 and np.mean([r.lang == r.lang_pred for r in known]) > 0.97
+    assert len(known) > 40 and np.mean([r.doc.lang == r.lang_pred for r in known]) > 0.97
     assert all(0 <= r.score <= 1 for r in got.values())
     assert all(got[i].lang_pred == "und" and got[i].rejected for i in (1000, 1001, 1002))
     assert got[1003].rejected and got[1004].lang_pred != "und" and got[None].lang_pred == "cc"
-    assert not any(got[i].rejected for i, _, _ in corpus())
-    assert {c.name for c in L.known_language(docs).schema} == set(docs.columns)
+    assert np.mean([got[i].rejected for i, _, _ in corpus()]) <= 0.01
+    kept = L.known_language(docs)
+    assert kept.schema == docs.schema and {(r.score, r.lang_pred, r.held_out) for r in kept.collect()} == {(0.5, "mine", True)}
+
+
+def test_rejection_of_noise_and_of_a_language_left_out(spark):
+    """Limits calibrated on the languages that are known refuse a language that isn't, and noise; both rates are held."""
+    rng = random.Random(4)
+    words = {lang: vocabulary(k, x) for k, (lang, x) in enumerate({"aa": "abcdefghij", "bb": "aefghijklm", "cc": "aeiouklmnop", "dd": "eioustrbcd"}.items())}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(rng.choice([30, 60, 200])))
+    rows = [(i, text(lang), lang) for i in range(900) for lang in [rng.choice(["aa", "bb", "cc"])]]
+    rows += [(2000 + i, text("dd"), None) for i in range(100)]
+    rows += [(3000 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)), None) for i in range(100)]
+    got = {r.doc.doc_id: r.rejected for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert np.mean([got[i] for i in range(900)]) <= 0.01
+    assert np.mean([got[2000 + i] for i in range(100)]) >= 0.95 and np.mean([got[3000 + i] for i in range(100)]) >= 0.95
+
+
+def test_a_sample_bounds_what_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "LEARN_CHARS", 20_000)
+    rows = spark.createDataFrame(corpus(2000), "doc_id long, text string, lang string")
+    n = {r.lang: r.n for r in L.sample(rows).groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert len(n) == 3 and all(8_000 < x < 40_000 for x in n.values())
+    got = L.identify(rows, ["lang"]).filter("held_out").collect()
+    assert np.mean([r.doc.lang == r.lang_pred for r in got]) > 0.95
 
 
 def test_no_labels_and_no_rows(spark):
@@ -112,6 +137,23 @@ def test_probabilities_are_kneser_ney(spark):
         assert got == pytest.approx(p(tuple(map(ord, gram))), rel=1e-4)
 
 
+def test_decision_and_score_by_brute_force(spark):
+    texts = {"x": ["abab cab", "bca abc", "cc ab"], "y": ["qq aq", "zq qa qaz"]}
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang in texts for t in texts[lang])], "doc_id long, text string, lang string")
+    symbols = len({c for ts in texts.values() for t in ts for c in t}) + 1
+    p = {lang: brute_kneser_ney(ts, symbols) for lang, ts in texts.items()}
+    model = L.train(docs)
+    asked = ["abc", "qaq!! qa", "cab qq", "z", "k"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "no long, text string")
+    for r in L.scored(rows, model).collect():
+        s = "\0\0\0" + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in asked[r.no]))
+        h = {lang: -sum(math.log(p[lang](tuple(map(ord, s[i - 3 : i + 1])))) for i in range(3, len(s))) / (len(s) - 3) for lang in p}
+        best = min(h, key=h.get)
+        odds = sum(math.exp((h[best] - x) * min(len(s) - 3, L.SCORE_CHARS)) for x in h.values())
+        assert r.lang_pred == best and r.score == pytest.approx(1 / odds, rel=1e-3) and r.cross_entropy == pytest.approx(h[best], rel=1e-4)
+        assert r.next_entropy == pytest.approx(max(h.values()), rel=1e-4)
+
+
 def test_fold_is_crc32(spark):
     import zlib
 

@@ -46,9 +46,10 @@ def corpus():
     return rows + [(3, None), (4, ""), (5, "?!"), (None, rows[0][1]), (rows[1][0], rows[1][1]), (6, rows[2][1].upper() + " !")]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, small", [(1024, 0), (1024, 24), (3, 0), (3, 5)])
+def test_against_brute_force(spark, monkeypatch, block, small):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "SMALL", small)
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, unit string, row int")
     got = [(r.doc_id, r.class_id, r.n_links) for r in jaccard_join(docs).collect()]
@@ -82,3 +83,26 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_forest_over_partitions():
+    """Neighbours with a common prefix of the floor's length are linked wherever the partitions are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    from editpairs.llm import near_join as N
+
+    rng = random.Random(3)
+    leaves = sorted((rng.randrange(2), np.array([rng.randrange(2) for _ in range(N.DEPTH)], dtype=">u4").tobytes(), bytes([k])) for k in range(200))
+    batch = lambda rows: pa.RecordBatch.from_pydict({"tree": pa.array([r[0] for r in rows], pa.int32()), "path": pa.array([r[1] for r in rows], pa.binary()), "unit": pa.array([r[2] for r in rows], pa.binary())})
+    out = [r for part, (a, b) in enumerate([(0, 1), (1, 70), (70, 70), (70, 150), (150, 200)]) for x in N.climbed([batch(leaves[a : (a + b) // 2]), batch(leaves[(a + b) // 2 : b])], part) for r in x.to_pylist()]
+    ends = sorted((r for r in out if r["b"] is None), key=lambda r: r["part"])
+    out += [r for x in N.climbed([batch([(r["tree"], r["path"], r["a"]) for r in ends])], 0) for r in x.to_pylist()]
+    got = {(r["a"], r["b"]): r["depth"] for r in out if r["b"] is not None and r["a"] != r["b"]}
+    want = {}
+    for x, y in zip(leaves, leaves[1:]):
+        same = [p == q for p, q in zip(np.frombuffer(x[1], ">u4"), np.frombuffer(y[1], ">u4"))]
+        depth = (same + [False]).index(False) if x[0] == y[0] else 0
+        if depth >= N.FLOOR:
+            want[y[2], x[2]] = depth
+    assert got == want and N.FLOOR < N.DEPTH

@@ -66,7 +66,7 @@ def test_language_accuracy_and_rejection(spark):
     assert len(known) > 40 and np.mean([r.doc.lang == r.lang_pred for r in known]) > 0.97
     assert all(0 <= r.score <= 1 for r in got.values())
     assert all(got[i].lang_pred == "und" and got[i].rejected for i in (1000, 1001, 1002))
-    assert got[1003].rejected and got[1004].lang_pred != "und" and got[None].lang_pred == "cc"
+    assert got[1003].rejected and got[1004].lang_pred != "und" and got[None].lang_pred == "cc"  # unlabelled texts loosen no limit
     assert np.mean([got[i].rejected for i, _, _ in corpus()]) <= 0.01
     kept = L.known_language(docs)
     assert kept.schema == docs.schema and {(r.score, r.lang_pred, r.held_out) for r in kept.collect()} == {(0.5, "mine", True)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -67,8 +69,9 @@ def _kernel(name: str):
     return 2.0, bicubic
 
 
+@lru_cache(maxsize=256)
 def _weights(size: int, to: int, kernel: str) -> np.ndarray:
-    """A row of weights over the old samples for each new one; the filter is widened when shrinking."""
+    """A row of weights over the old samples for each new one; the filter is widened when shrinking. Kept for the sizes that recur."""
     support, f = _kernel(kernel)
     scale = size / to
     wide = max(scale, 1.0)
@@ -86,11 +89,11 @@ def resize(pixels: np.ndarray, width: int, height: int, kernel: str = "lanczos")
     if pixels.shape[:2] == (height, width):
         return pixels
     x = pixels.astype(np.float64)
-    whole = lambda v: np.clip(np.floor(v + 0.5), 0, 255)
+    whole = lambda v: np.clip(np.floor(np.round(v, 9) + 0.5), 0, 255)  # noqa: E731  the order of a sum's terms decides no half
     if width != x.shape[1]:
-        x = whole(np.einsum("ij,hjc->hic", _weights(x.shape[1], width, kernel), x))
+        x = whole(_weights(x.shape[1], width, kernel) @ x)  # each row's samples by weights
     if height != x.shape[0]:
-        x = whole(np.einsum("ij,jwc->iwc", _weights(x.shape[0], height, kernel), x))
+        x = whole(_weights(x.shape[0], height, kernel) @ x.reshape(x.shape[0], -1)).reshape(height, *x.shape[1:])
     return x.astype(np.uint8)
 
 

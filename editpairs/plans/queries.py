@@ -553,6 +553,7 @@ PIXELS_SQL = f"""px AS (SELECT p_partkey AS id, {WIDE} AS w, x, y, c, (p_partkey
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), (12 + F.col("p_size") % 7).cast("int").alias("w"), F.col("p_name").alias("edit_prompt"))
+    part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pair_id")  # narrow rows are dealt out before they become pixels
 
     def image(shift: Column) -> Column:
         at = F.sequence(F.lit(0), F.col("w") * (HIGH * 3) - 1)
@@ -576,7 +577,13 @@ def border_anomaly(spark, sf_dir):
     return images(spark, sf_dir).select("pair_id", F.round(I.border_anomaly("edited_image"), 9).alias("border"))
 
 
-@query()
+HUES_SQL = f"""p AS (SELECT id, w, x, y, max(b) FILTER (c = 0) AS r, max(b) FILTER (c = 1) AS g, max(b) FILTER (c = 2) AS bl, max(b) AS hi, max(b) - min(b) AS span FROM px GROUP BY id, w, x, y),
+  n AS (SELECT *, ((hi - r)::FLOAT / span::FLOAT)::DOUBLE AS rc, ((hi - g)::FLOAT / span::FLOAT)::DOUBLE AS gc, ((hi - bl)::FLOAT / span::FLOAT)::DOUBLE AS bc FROM p WHERE span > 0 AND hi / 255.0::DOUBLE > 0.5 AND floor((span::FLOAT / hi::FLOAT)::DOUBLE * 255) / 255 > 0.8),
+  hues AS (SELECT id, w, x, y, 2 * pi() * floor((((CASE WHEN r = hi THEN bc - gc WHEN g = hi THEN 2 + rc - bc ELSE 4 + gc - rc END)::FLOAT::DOUBLE / 6 + 1) % 1)::FLOAT::DOUBLE * 255) / 255 AS hue FROM n)"""
+
+
+@query(f"""WITH {PIXELS_SQL}, {HUES_SQL}, k AS (SELECT id, count(*) >= 5 AND 1 - sqrt(pow(avg(cos(hue)), 2) + pow(avg(sin(hue)), 2)) > 0.15 AS hit FROM hues WHERE (x < 5 OR x >= w - 5) AND (y < 5 OR y >= {HIGH} - 5) GROUP BY id, x < 5, y < 5)
+  SELECT p_partkey AS pair_id, coalesce(bool_or(hit), false) AS strip FROM part LEFT JOIN k ON id = p_partkey GROUP BY p_partkey""")
 def corner_strip(spark, sf_dir):
     return images(spark, sf_dir).select("pair_id", I.corner_strip(5, 5)("edited_image").alias("strip"))
 
@@ -595,16 +602,30 @@ def crop_border(spark, sf_dir):
     return rows.select("pair_id", "i.width", "i.height", F.md5(F.hex("i.data").cast("binary")).alias("pixels"))
 
 
-@query(f"SELECT p_partkey AS pair_id, CASE WHEN {WIDE} > 14 THEN 14 ELSE {WIDE} END AS width, CASE WHEN {WIDE} > 14 THEN CAST(floor({HIGH} * 14 / {WIDE}::DOUBLE) AS INTEGER) ELSE {HIGH} END AS height FROM part")
+def resized_sql(width: str, height: str) -> str:
+    """CTEs from px to `out` (id, x, y, c, v): the edited image at width x height (of w) by the windowed sinc of three lobes, rounded after each direction."""
+    weights = lambda size, to: f"""SELECT size, n, i, j, f / sum(f) OVER (PARTITION BY size, n, i) AS f FROM (SELECT size, n, i, j, CASE WHEN abs(d) >= 3 THEN 0 WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END AS f
+      FROM (SELECT size, n, i, j, (j + 0.5 - (i + 0.5) * size / n::DOUBLE) / greatest(size / n::DOUBLE, 1) AS d FROM (SELECT DISTINCT {size} AS size, {to} AS n FROM px), range(18) ti(i), range(18) tj(j)
+        WHERE i < n AND j < size AND j >= floor((i + 0.5) * size / n::DOUBLE - 3 * greatest(size / n::DOUBLE, 1) + 0.5) AND j < floor((i + 0.5) * size / n::DOUBLE + 3 * greatest(size / n::DOUBLE, 1) + 0.5)))"""
+    return f"""across AS ({weights('w', width)}), down AS ({weights(str(HIGH), height)}),
+  wide AS (SELECT id, w, i AS x, y, c, least(255, greatest(0, floor(round(sum(f * b), 9) + 0.5))) AS v FROM px JOIN across ON size = w AND j = x GROUP BY id, w, i, y, c),
+  out AS (SELECT id, w, x, i AS y, c, CAST(least(255, greatest(0, floor(round(sum(f * v), 9) + 0.5))) AS INTEGER) AS v FROM wide JOIN down ON n = {height} AND j = y GROUP BY id, w, x, i, c)"""
+
+
+BYTES_SQL = "md5(string_agg(lpad(hex(v), 2, '0'), '' ORDER BY y, x, c)) AS pixels"
+BOUNDED = ("CAST(CASE WHEN w > 14 THEN 14 ELSE w END AS INTEGER)", f"CAST(CASE WHEN w > 14 THEN floor({HIGH} * 14 / w::DOUBLE) ELSE {HIGH} END AS INTEGER)")
+
+
+@query(f"WITH {PIXELS_SQL}, {resized_sql(*BOUNDED)} SELECT id AS pair_id, {BOUNDED[0]} AS width, {BOUNDED[1]} AS height, {BYTES_SQL} FROM out GROUP BY id, w")
 def bounded_size(spark, sf_dir):
     rows = images(spark, sf_dir).select("pair_id", I.bounded(14)(F.col("edited_image")).alias("i"))
-    return rows.select("pair_id", "i.width", "i.height")
+    return rows.select("pair_id", "i.width", "i.height", F.md5(F.hex("i.data").cast("binary")).alias("pixels"))
 
 
-@query()
+@query(f"WITH {PIXELS_SQL}, {resized_sql('8', '8')} SELECT id AS pair_id, 8 AS width, 8 AS height, {BYTES_SQL} FROM out GROUP BY id")
 def lanczos_resize(spark, sf_dir):
     rows = images(spark, sf_dir).select("pair_id", I.squared(8)(F.col("edited_image")).alias("i"))
-    return rows.select("pair_id", "i.width", "i.height", F.md5("i.data").alias("pixels"))
+    return rows.select("pair_id", "i.width", "i.height", F.md5(F.hex("i.data").cast("binary")).alias("pixels"))
 
 
 @query()

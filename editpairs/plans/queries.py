@@ -602,33 +602,51 @@ def crop_border(spark, sf_dir):
     return rows.select("pair_id", "i.width", "i.height", F.md5(F.hex("i.data").cast("binary")).alias("pixels"))
 
 
-def resized_sql(width: str, height: str) -> str:
-    """CTEs from px to `out` (id, x, y, c, v): the edited image at width x height (of w) by the windowed sinc of three lobes, rounded after each direction."""
-    weights = lambda size, to: f"""SELECT size, n, i, j, f / sum(f) OVER (PARTITION BY size, n, i) AS f FROM (SELECT size, n, i, j, CASE WHEN abs(d) >= 3 THEN 0 WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END AS f
-      FROM (SELECT size, n, i, j, (j + 0.5 - (i + 0.5) * size / n::DOUBLE) / greatest(size / n::DOUBLE, 1) AS d FROM (SELECT DISTINCT {size} AS size, {to} AS n FROM px), range(18) ti(i), range(18) tj(j)
-        WHERE i < n AND j < size AND j >= floor((i + 0.5) * size / n::DOUBLE - 3 * greatest(size / n::DOUBLE, 1) + 0.5) AND j < floor((i + 0.5) * size / n::DOUBLE + 3 * greatest(size / n::DOUBLE, 1) + 0.5)))"""
-    return f"""across AS ({weights('w', width)}), down AS ({weights(str(HIGH), height)}),
-  wide AS (SELECT id, w, i AS x, y, c, least(255, greatest(0, floor(round(sum(f * b), 9) + 0.5))) AS v FROM px JOIN across ON size = w AND j = x GROUP BY id, w, i, y, c),
-  out AS (SELECT id, w, x, i AS y, c, CAST(least(255, greatest(0, floor(round(sum(f * v), 9) + 0.5))) AS INTEGER) AS v FROM wide JOIN down ON n = {height} AND j = y GROUP BY id, w, x, i, c)"""
+LANCZOS = 3, "CASE WHEN abs(d) >= 3 THEN 0 WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END"
+BICUBIC = 2, "CASE WHEN abs(d) < 1 THEN (1.5::DOUBLE * abs(d) - 2.5::DOUBLE) * d * d + 1 WHEN abs(d) < 2 THEN (((abs(d) - 5) * abs(d) + 8) * abs(d) - 4) * -0.5::DOUBLE ELSE 0 END"
+
+
+def resized_sql(width: str, height: str, kernel: tuple[int, str] = LANCZOS, value: str = "b") -> str:
+    """CTEs from px to `out_<value>` (id, w, x, y, c, v): an image at width x height (of w) by a kernel, rounded after each direction."""
+    lobes, weight = kernel
+
+    def weights(size: str, to: str) -> str:
+        scale, wide = "size / n::DOUBLE", "greatest(size / n::DOUBLE, 1)"
+        return f"""SELECT size, n, i, j, f / sum(f) OVER (PARTITION BY size, n, i) AS f FROM (SELECT size, n, i, j, {weight} AS f
+      FROM (SELECT size, n, i, j, (j + 0.5 - (i + 0.5) * {scale}) / {wide} AS d FROM (SELECT DISTINCT {size} AS size, {to} AS n FROM px), range(64) ti(i), range(18) tj(j)
+        WHERE i < n AND j < size AND j >= floor((i + 0.5) * {scale} - {lobes} * {wide} + 0.5) AND j < floor((i + 0.5) * {scale} + {lobes} * {wide} + 0.5)))"""
+
+    return f"""across_{value} AS ({weights('w', width)}), down_{value} AS ({weights(str(HIGH), height)}),
+  wide_{value} AS (SELECT id, w, i AS x, y, c, least(255, greatest(0, floor(round(sum(f * {value}), 9) + 0.5))) AS v FROM px JOIN across_{value} ON size = w AND j = x GROUP BY id, w, i, y, c),
+  out_{value} AS (SELECT id, w, x, i AS y, c, CAST(least(255, greatest(0, floor(round(sum(f * v), 9) + 0.5))) AS INTEGER) AS v FROM wide_{value} JOIN down_{value} ON n = {height} AND j = y GROUP BY id, w, x, i, c)"""
 
 
 BYTES_SQL = "md5(string_agg(lpad(hex(v), 2, '0'), '' ORDER BY y, x, c)) AS pixels"
 BOUNDED = ("CAST(CASE WHEN w > 14 THEN 14 ELSE w END AS INTEGER)", f"CAST(CASE WHEN w > 14 THEN floor({HIGH} * 14 / w::DOUBLE) ELSE {HIGH} END AS INTEGER)")
 
 
-@query(f"WITH {PIXELS_SQL}, {resized_sql(*BOUNDED)} SELECT id AS pair_id, {BOUNDED[0]} AS width, {BOUNDED[1]} AS height, {BYTES_SQL} FROM out GROUP BY id, w")
+@query(f"WITH {PIXELS_SQL}, {resized_sql(*BOUNDED)} SELECT id AS pair_id, {BOUNDED[0]} AS width, {BOUNDED[1]} AS height, {BYTES_SQL} FROM out_b GROUP BY id, w")
 def bounded_size(spark, sf_dir):
     rows = images(spark, sf_dir).select("pair_id", I.bounded(14)(F.col("edited_image")).alias("i"))
     return rows.select("pair_id", "i.width", "i.height", F.md5(F.hex("i.data").cast("binary")).alias("pixels"))
 
 
-@query(f"WITH {PIXELS_SQL}, {resized_sql('8', '8')} SELECT id AS pair_id, 8 AS width, 8 AS height, {BYTES_SQL} FROM out GROUP BY id")
+@query(f"WITH {PIXELS_SQL}, {resized_sql('8', '8')} SELECT id AS pair_id, 8 AS width, 8 AS height, {BYTES_SQL} FROM out_b GROUP BY id")
 def lanczos_resize(spark, sf_dir):
     rows = images(spark, sf_dir).select("pair_id", I.squared(8)(F.col("edited_image")).alias("i"))
     return rows.select("pair_id", "i.width", "i.height", F.md5(F.hex("i.data").cast("binary")).alias("pixels"))
 
 
-@query()
+BORDER_SQL = f"""border AS (SELECT id, avg(CASE WHEN hi > 0 AND floor((hi - lo) / hi::DOUBLE * 255) / 255 > 0.8 AND hi / 255.0::DOUBLE > 0.5 THEN 1 ELSE 0 END) AS border
+  FROM (SELECT id, w, x, y, max(b) AS hi, min(b) AS lo FROM px GROUP BY id, w, x, y) WHERE x < 5 OR y < 5 OR x >= w - 5 OR y >= {HIGH} - 5 GROUP BY id)"""
+
+
+@query(f"""WITH {PIXELS_SQL}, {resized_sql('64', '64', BICUBIC, 'a')}, {resized_sql('64', '64', BICUBIC, 'b')}, {BORDER_SQL},
+  ma AS (SELECT id, c, avg(v) AS m FROM out_a GROUP BY id, c), mb AS (SELECT id, c, avg(v) AS m FROM out_b GROUP BY id, c),
+  d AS (SELECT id, max(mb.m - ma.m) FILTER (c = 0) AS r, max(mb.m - ma.m) FILTER (c = 1) AS g, max(mb.m - ma.m) FILTER (c = 2) AS b FROM ma JOIN mb USING (id, c) GROUP BY id),
+  f AS (SELECT r, g, b, border, {PERSON.format('p_name')} AS person FROM d JOIN border USING (id) JOIN part ON id = p_partkey)
+  SELECT count(*) AS n, round(avg(r), 2) AS delta_r, round(avg(g), 2) AS delta_g, round(avg(b), 2) AS delta_b, round(count(*) FILTER (r > 2 AND b > 2 AND g < 0) / count(*)::DOUBLE, 4) AS magenta_fraction,
+    round(count(*) FILTER (border > 0.01) / count(*)::DOUBLE, 4) AS border_fraction, count(*) FILTER (person) AS persons, round(count(*) FILTER (person) / count(*)::DOUBLE, 4) AS person_fraction FROM f""")
 def color_audit(spark, sf_dir):
     return quality.global_audit(jobs.pair_features(images(spark, sf_dir)))
 

@@ -53,7 +53,7 @@ def test_stratified_sample_is_exact_and_stable(spark):
     assert {r.id for r in a.collect()} != {r.id for r in sampling.stratified(df, "s", "id", targets, 2).collect()}
 
 
-def test_sample_like_the_reference_case(spark):
+def test_sample_of_unequal_strata(spark):
     rows = [("1", "glasses"), ("2", "glasses"), ("3", "hair"), ("4", "hair"), ("5", "anime")]
     pairs = spark.createDataFrame(rows, "entry string, attribute string")
     targets = spark.createDataFrame([("glasses", None), ("hair", 1), ("anime", 0)], "attribute string, target int")

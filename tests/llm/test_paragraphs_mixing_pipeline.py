@@ -163,3 +163,29 @@ def test_pipeline(spark, tmp_path):
         sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
     assert sum(n < 2048 for n in sizes.values()) == 1 and max(sizes.values()) == 2048
     assert np.sum([p.length for p in pieces]) > 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null ids, langs and sources, repeated rows and columns of any name pass; what a stage keeps is as it was; an empty table stays one."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(100))
+    rows = [(i, text(), "en", f"src{i % 3}") for i in range(30)]
+    rows += [(None, text(), None, None), (None, text(), "en", "src1"), rows[4], rows[4], (50, "", "en", "src1"), (51, "a", None, "src1")]
+    mine = {"epoch": "e", "score": "s", "key": "k", "doc": "d", "row": "r", "n_tokens": "n", "rejected": "j", "_row": "_", "held_out": "h"}
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in mine)
+    docs = start = spark.createDataFrame([(*r, *mine.values()) for r in rows], schema)
+    texts = {(r[0], r[1]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in start.schema], name
+        got = docs.collect()
+        assert got and all((r.doc_id, r.text) in texts and {c: r[c] for c in mine} == mine for r in got), name
+        assert sum(r.doc_id == 4 for r in got) == (3 if name == "language_id" else 1) or name == "mixing", name
+        assert name == "mixing" or sum(r.doc_id is None for r in got) == 2, name
+    pieces = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, start.filter("false"), str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == start.columns), name

@@ -5,6 +5,15 @@ from __future__ import annotations
 import numpy as np
 
 
+def sorted_directly(symbols: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """These suffixes in the order of their first `depth` symbols."""
+    if not len(starts):
+        return starts
+    padded = np.concatenate((symbols, np.zeros(depth, np.uint8)))
+    heads = np.lib.stride_tricks.as_strided(padded, shape=(len(symbols), depth), strides=(1, 1))[starts]
+    return starts[np.argsort(heads.view(f"S{depth}").ravel(), kind="stable")]
+
+
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of symbols (uint8), in the order of their first `depth` symbols at least.
 
@@ -23,10 +32,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     rises[-1] = False  # the end is smaller than any symbol
     smaller = np.repeat(rises, np.diff(np.concatenate(([-1], run_end))))
 
-    text = symbols.tobytes().decode("latin-1")
-    starts = np.flatnonzero(smaller).tolist()
-    starts.sort(key=lambda i: text[i : i + depth])
-    direct = np.array(starts, dtype=np.int64)
+    direct = sorted_directly(symbols, np.flatnonzero(smaller), depth)
     first = np.searchsorted(symbols[direct], np.arange(257))  # they are in order of their first symbols
 
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -60,19 +66,21 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each place of order but the first: symbols that its suffix shares with the one before, `most` at most."""
     a, b = order[:-1], order[1:]
-    padded = np.concatenate((symbols, np.zeros(8, np.uint8)))
-    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(symbols) + 1,), strides=(1,))
-    room = len(symbols) - np.maximum(a, b)
-    shared = np.zeros(len(a), dtype=np.int64)
+    padded = np.concatenate((symbols, np.zeros(most + 16, np.uint8)))
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(symbols) + most + 8,), strides=(1,))
+    shared = np.full(len(a), most, dtype=np.int64)
     alive = np.arange(len(a))
+    left, right = a.copy(), b.copy()
     for at in range(0, most, 8):
-        alive = alive[room[alive] > at]
-        if not len(alive):
-            break
-        differ = eight[a[alive] + at] ^ eight[b[alive] + at]
-        same = np.zeros(len(alive), dtype=np.int64)
-        for k in range(8):  # little-endian: the first symbol is in the lowest byte
-            same += (differ << np.uint64(8 * (7 - k))) == 0
-        shared[alive] += same
-        alive = alive[same == 8]
-    return np.minimum(np.minimum(shared, room), most)
+        differ = eight[left] ^ eight[right]
+        equal = differ == 0
+        if not equal.all():
+            word = differ[~equal]
+            low = np.log2((word & (~word + np.uint64(1))).astype(np.float64)).astype(np.int64)  # little-endian: the first symbol is in the lowest byte
+            shared[alive[~equal]] = at + low // 8
+            alive, left, right = alive[equal], left[equal], right[equal]
+            if not len(alive):
+                break
+        left += 8
+        right += 8
+    return np.minimum(np.minimum(shared, len(symbols) - np.maximum(a, b)), most)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import blocks_of, partitions, written
+from editpairs.llm.common import blocks_of, discard, partitions, written
 from editpairs.llm.near import SIMILARITY, minima, near_classes, recall, row_key, with_row
 
 TREES, DEPTH, RECALL = 20, 10, 0.997
@@ -106,16 +106,19 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     repeated rows are links of each other; extra columns are ignored; an empty table gives no row.
     """
     docs = with_row(docs)
-    items = written(signed(docs), "signatures")
-    units = items.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.first("path").alias("path"), F.min("row").alias("row"))
+    paths = written(signed(docs), "signatures")
+    items = written(paths.select("doc_id", "row", "unit"), "signed-rows")
+    units = paths.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.first("path").alias("path"), F.min("row").alias("row"))
     units = written(units, "units")
+    discard(paths)
     texts = lambda wanted: wanted.select("unit", "weight", "component", "row").join(docs.select("row", "text"), "row")
     near = near_classes(units, forest(units).select("a", "b"), texts)
-    units = units.select("unit", "weight", "least").join(near, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    units = written(units, "unit-links")
-    least = units.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("weight").alias("class_size"))
-    units = units.join(least, "component").select("unit", "component", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    found = items.select("doc_id", "row", "unit").join(units, "unit").select("doc_id", "row", "class_id", "class_size", "n_links", "component")
+    linked = units.select("unit", "weight", "least").join(near, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    linked = written(linked, "unit-links")
+    discard(units)
+    least = linked.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("weight").alias("class_size"))
+    linked = linked.join(least, "component").select("unit", "component", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    found = items.select("doc_id", "row", "unit").join(linked, "unit").select("doc_id", "row", "class_id", "class_size", "n_links", "component")
     none = docs.join(items.select("row").distinct(), "row", "left_anti")
     return found.union(none.select("doc_id", "row", F.col("doc_id"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("binary")))
 

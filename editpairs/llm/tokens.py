@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps, at about 200 bytes each.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 #: Texts that are cut and looked up together have about so many bytes; a longer text is by itself.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Stands between the pieces of a text that keeps its spaces; a text that has it is encoded whole.
 CUT = "\x01"
 

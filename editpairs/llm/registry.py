@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from editpairs.llm import bit_sliced, exact_dedup, hard_negatives, language_id, mixing, near_join, packing, paragraphs, repeated_substrings, secrets, token_files
+from editpairs.llm import bit_sliced, exact_dedup, hard_negatives, language_id, merkle, mixing, near_join, packing, paragraphs, repeated_substrings, secrets, token_files, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_mix": mixing.op9_mix,
     "op10_pack": packing.op10_pack,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_warc": warc.op12_warc,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_top_k": bit_sliced.OP6_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
 }

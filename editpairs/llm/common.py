@@ -42,11 +42,11 @@ def small_batches(spark: SparkSession):
             spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
     path = shared_dir(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

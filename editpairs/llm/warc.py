@@ -81,10 +81,10 @@ def parsed_fields(data: bytes) -> tuple[dict[str, str], int] | None:
 
 
 def staged(pages: DataFrame) -> DataFrame:
-    """place (a number of its own), page_id, url, html (null: empty), digest (SHA-1 of the UTF-8, hex), n_bytes."""
+    """place (a number of its own), page_id, url, html (null: empty), digest (SHA-1 of the UTF-8), n_bytes."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("place"), F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
-    return written(rows.withColumns({"digest": F.unhex(F.sha1("html")), "n_bytes": F.octet_length("html").cast("long")}), "pages")
+    return written(rows.withColumns({"digest": F.unhex(F.sha1("html")), "n_bytes": F.octet_length("html").cast("long")}), "pages", compression="zstd")
 
 
 def decided(rows: DataFrame, least_bytes: int) -> DataFrame:

@@ -91,7 +91,38 @@ def attribute_availability(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("attribute", "available", "target", taken.alias("taken"))
 
 
+#: Buckets of rows whose fingerprints are held against each other.
+BUCKETS = 1 << 14
+
+
+def fingerprints(df: DataFrame) -> DataFrame:
+    """_bucket, n, total, folded: of the rows of each bucket, whatever their order, their number and two sums of 64-bit hashes."""
+    one, two = F.xxhash64(*df.columns), F.xxhash64(*df.columns, F.lit("second"))
+    rows = df.select(F.pmod(one, F.lit(BUCKETS)).cast("int").alias("_bucket"), one.alias("_one"), two.alias("_two"))
+    return rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_one").cast("decimal(38,0)")).alias("total"), F.bit_xor("_two").alias("folded"), F.sum(F.col("_two").cast("decimal(38,0)")).alias("second"))
+
+
+def differing_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """_bucket of those whose fingerprints differ: BUCKETS rows at most, whatever the tables' size. Equal tables have none, and shuffle no row."""
+    a, b = fingerprints(a), fingerprints(b)
+    both = a.join(b.select(F.col("_bucket").alias("_other"), F.struct("n", "total", "folded", "second").alias("_theirs")), F.col("_bucket") == F.col("_other"), "full")
+    same = F.struct("n", "total", "folded", "second").eqNullSafe(F.col("_theirs"))
+    return both.filter(F.col("_bucket").isNull() | F.col("_other").isNull() | ~same).select(F.coalesce("_bucket", "_other").alias("_bucket"))
+
+
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that only one of two tables has, with copies: none if they are equal."""
+    """Rows that only one of two tables has, with copies: none if they are equal.
+
+    Only rows of buckets whose fingerprints differ are shuffled and compared; the others are equal but for a
+    chance of 2^-128 a bucket. Columns are matched by name.
+    """
     b = b.select(*a.columns)
+    buckets = F.broadcast(differing_buckets(a, b).withColumnRenamed("_bucket", "_differs"))  # BUCKETS rows at most
+    bucket = F.pmod(F.xxhash64(*a.columns), F.lit(BUCKETS)).cast("int")
+    a, b = (x.withColumn("_b", bucket).join(buckets, F.col("_b") == F.col("_differs"), "left_semi").drop("_b") for x in (a, b))
     return a.exceptAll(b).withColumn("only_in", F.lit("left")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right")))
+
+
+def equal_tables(a: DataFrame, b: DataFrame) -> bool:
+    """Do two tables hold the same rows, with copies, whatever their order?"""
+    return set(a.columns) == set(b.columns) and differing_buckets(a, b.select(*a.columns)).isEmpty()

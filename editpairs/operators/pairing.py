@@ -24,17 +24,15 @@ def path_parts(df: DataFrame, path: str, root: str = "") -> DataFrame:
     }).drop("_parts")
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+#: JSON values that count as missing: empty, false, null and any zero.
+FALSY = r'^(""|false|null|\[\]|\{\}|-?0(\.0*)?([eE][+-]?[0-9]+)?)$'
 
 
 def _truthy(item: Column, fields: list[str]) -> Column:
     """The first of an object's fields that is not empty, zero, false or null, as text."""
     def one(field: str) -> Column:
-        value, text = F.try_variant_get(item, f"$.{field}", "variant"), F.try_variant_get(item, f"$.{field}", "string")
-        zero = ~_kind(value).isin("STRING", "BOOLEAN") & F.coalesce(text.try_cast("double") == 0, F.lit(False))
-        empty = (text == "") | (~_kind(value).isin("STRING") & text.isin("[]", "{}"))  # a text of two brackets is a text
-        return F.when(~empty & ~zero & ~((_kind(value) == "BOOLEAN") & (text == "false")), text)
+        value = F.try_variant_get(item, f"$.{field}", "variant")
+        return F.when(~F.to_json(value).rlike(FALSY), F.try_variant_get(value, "$", "string"))
 
     return F.coalesce(*map(one, fields))
 
@@ -43,19 +41,19 @@ def instructions(df: DataFrame, json: str) -> DataFrame:
     """prompt and edited_file (null: not named) for each entry of instruction documents of any shape.
 
     Objects map file names to a prompt or to an object of fields; arrays hold prompts or such objects. Plain
-    prompts stay as they are, fields are stripped; entries without a prompt go, as do other shapes.
+    prompts stay as they are, fields are stripped; entries without a prompt go, as do other shapes. A document
+    is parsed once; its entries come from the parsed value, as rows of a table function.
     """
-    whole = _kind(F.try_parse_json(F.col(json)))
-    rows = df.withColumn("_list", F.startswith(whole, F.lit("ARRAY"))).filter(F.startswith(whole, F.lit("ARRAY")) | F.startswith(whole, F.lit("OBJECT")))
-    keyed = F.transform(F.map_entries(F.from_json(json, "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    listed = F.transform(F.from_json(json, "array<variant>"), lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("value")))
-    rows = rows.withColumn("_item", F.explode(F.when(F.col("_list"), listed).otherwise(keyed)))
-    value, key = F.col("_item.value"), F.col("_item.key")
-    nested, plain = F.startswith(_kind(value), F.lit("OBJECT")), _kind(value) == "STRING"
+    rows = df.withColumn("_document", F.try_parse_json(F.col(json)))
+    entries = df.sparkSession.tvf.variant_explode(F.col("_document").outer())  # pos, key, value; no row for other shapes
+    rows = rows.lateralJoin(entries.select(F.col("key").alias("_key"), F.col("value").alias("_value"))).drop("_document")
+    rows = rows.withColumn("_kind", F.schema_of_variant("_value"))
+    nested, plain = F.startswith("_kind", F.lit("OBJECT")), F.col("_kind") == "STRING"
+    value, key = F.col("_value"), F.col("_key")
     prompt = F.when(nested, strip(_truthy(value, PROMPT_FIELDS))).when(plain, F.try_variant_get(value, "$", "string"))
     file = F.when(nested, F.coalesce(_truthy(value, FILE_FIELDS), key)).otherwise(key)
     rows = rows.withColumns({"prompt": prompt, "edited_file": F.nullif(file, F.lit(""))})
-    return rows.filter("prompt IS NOT NULL AND prompt <> ''").drop("_item", "_list")
+    return rows.filter("prompt IS NOT NULL AND prompt <> ''").drop("_key", "_value", "_kind")
 
 
 def candidate_names(file: Column, face_id: Column) -> Column:

@@ -10,6 +10,7 @@ from editpairs.functions import image_ops as I
 from editpairs.functions.text import mentions_person, shorten_caption
 from editpairs.operators.filters import face_lost
 from editpairs.operators.mixing import fraction
+from editpairs.operators.order_statistics import exact_percentiles
 from editpairs.operators.sampling import stratified
 
 THUMB, CAPTION, HEADER = 224, 34, 34
@@ -25,7 +26,11 @@ def audit_sample(pairs: DataFrame, per_attribute: int, control: int, seed: int,
     return stratified(rows, "audit_group", key, names.union(spark.createDataFrame([("control", control)], "audit_group string, target int")), seed)
 
 
-def quality_columns() -> list[Column]:
+#: Percentiles of an audit: name -> column and share.
+PERCENTILES = {"pair_sim_p10": ("pair_sim", 0.1), "lpips_p90": ("lpips", 0.9)}
+
+
+def quality_columns(percentiles: bool = True) -> list[Column]:
     """Summary of pair_sim, text_sim, lpips, face_orig and face_edited; percentiles are exact, between values linear."""
     n = F.count(F.lit(1))
     flags = {
@@ -33,16 +38,24 @@ def quality_columns() -> list[Column]:
         "low_text_sim": F.coalesce(F.col("text_sim") < 0.18, F.lit(False)), "face_lost": face_lost(F.col("face_orig"), F.col("face_edited")),
     }
     return [
-        n.alias("n"), F.avg("pair_sim").alias("pair_sim_mean"), F.percentile("pair_sim", 0.1).alias("pair_sim_p10"), F.avg("text_sim").alias("text_sim_mean"),
-        F.avg("lpips").alias("lpips_mean"), F.percentile("lpips", 0.9).alias("lpips_p90"),
+        n.alias("n"), F.avg("pair_sim").alias("pair_sim_mean"), F.avg("text_sim").alias("text_sim_mean"), F.avg("lpips").alias("lpips_mean"),
+        *(F.percentile(c, p).alias(name) for name, (c, p) in PERCENTILES.items() if percentiles),
         *(F.count_if(c).alias(f"{k}_count") for k, c in flags.items()), *((F.count_if(c) / n).alias(f"{k}_fraction") for k, c in flags.items()),
     ]
 
 
 def audit(metrics: DataFrame, group: str = "audit_group") -> DataFrame:
+    """A summary of each group of a sample: its values meet in one task for the percentiles."""
     return metrics.groupBy(group).agg(*quality_columns())
 
 
+def audit_population(metrics: DataFrame, group: str = "audit_group") -> DataFrame:
+    """audit() of groups of any size: counts and means are combined before the shuffle, percentiles narrowed down in passes."""
+    summary = metrics.groupBy(group).agg(*quality_columns(percentiles=False))
+    found = exact_percentiles(metrics, group, PERCENTILES).withColumnRenamed(group, "_group")
+    return summary.join(found, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def gate(summary: DataFrame, group: str = "audit_group", most_suspicious: float = 0.05, tolerance: float = 0.1, exempt: tuple[str, ...] = ()) -> DataFrame:
     """Per attribute: passes if few pairs are suspicious and the mean similarity is near the control group's."""
     control = summary.filter(F.col(group) == "control").select(F.col("pair_sim_mean").alias("control_mean"))  # one row

@@ -37,9 +37,23 @@ def first_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+#: Rows that a top-k holds in every task; larger samples are cut bucket by bucket.
+TOP = 100_000
+
+
 def capped(df: DataFrame, most: int, key: str, seed: int) -> DataFrame:
     """All rows, or `most` at random if there are more."""
-    return df.withColumn("_order", seeded_key(seed, key)).orderBy("_order", key).limit(most).drop("_order")
+    rows = df.withColumn("_order", seeded_key(seed, key))
+    if most <= TOP:
+        return rows.orderBy("_order", key).limit(most).drop("_order")
+    rows = rows.withColumn("_bucket", F.substring("_order", 1, 4))  # 65,536 at most, of about one size
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).filter(F.col("_before") < most)
+    rows = rows.join(F.broadcast(sizes), "_bucket")
+    rank = F.row_number().over(W.partitionBy("_bucket").orderBy("_order", key))
+    whole, edge = rows.filter(F.col("_before") + F.col("_n") <= most), rows.filter(F.col("_before") + F.col("_n") > most)
+    edge = edge.withColumn("_rank", rank).filter(F.col("_before") + F.col("_rank") <= most)
+    return whole.select(*df.columns).union(edge.select(*df.columns))
 
 
 def random_subset(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:

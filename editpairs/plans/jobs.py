@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from editpairs.functions import image_ops as I
 from editpairs.functions.text import mentions_person
 from editpairs.operators import filters, mixing, pairing, plugins, quality, sampling
-from editpairs.sources import io
+from editpairs.sources import files, io
 
 # How many pairs of each attribute are taken; null is all, 0 none.
 ATTRIBUTE_TARGETS = {"glasses": None, "beard": None, "eyes": None, "hair": 5000, "age": 3000, "gender": 2000, "expression": 2000, "skin": 1000, "anime": 0}
@@ -26,8 +27,8 @@ def discover_pairs(spark: SparkSession, path: str) -> DataFrame:
     root = io.tree_root(spark, path)
     entries = pairing.instructions(pairing.path_parts(io.read_instruction_tree(spark, root), "json_path", root), "json").drop("json")
     entries = entries.withColumn("entry", F.md5(F.concat_ws("|", "json_path", F.coalesce("edited_file", F.lit("")), "prompt").cast("binary")))
-    files = io.file_inventory(spark, root)  # a named file may have any suffix
-    found = pairing.resolve_named(entries, files, "entry").unionByName(pairing.resolve_unnamed(entries, files, "entry"))
+    inventory = files.list_tree(spark, root)  # a named file may have any suffix
+    found = pairing.resolve_named(entries, inventory, "entry").unionByName(pairing.resolve_unnamed(entries, inventory, "entry"))
     return found.select("face_id", "attribute", "prompt", "edited_path", "json_path", "entry")
 
 
@@ -39,16 +40,13 @@ def prepare_second_source(pairs: DataFrame, originals: DataFrame, targets: DataF
     return pairing.pair_by_key(chosen, pairing.needed_only(originals, chosen))
 
 
-def load_second_source(spark: SparkSession, chosen: DataFrame, side: int = 512, face_loader=None) -> DataFrame:
+def load_second_source(chosen: DataFrame, side: int = 512, face_loader=None, decoder=None, opener=None) -> DataFrame:
     """Pixels of the chosen pairs, originals square, edited images at their size, both with a face.
 
-    Only files of chosen pairs are read; each original is decoded once and joined by path.
+    Executors open the files of chosen pairs and no others, an original once for its edits; pairs with a file that
+    is missing or broken go. Paths don't pass the driver and pixels no exchange.
     """
-    paths = lambda c: chosen.select(F.col(c).alias("path"))
-    originals = io.read_chosen_images(spark, paths("original_path")).select(F.col("path").alias("original_path"), I.squared(side)(F.col("image")).alias("original_image"))
-    edited = io.read_chosen_images(spark, paths("edited_path")).select(F.col("path").alias("edited_path"), F.col("image").alias("edited_image"))
-    rows = chosen.join(edited, "edited_path").join(originals, "original_path")
-    rows = rows.withColumn("edited_image", I.resize_like(F.col("edited_image"), F.col("original_image"))).filter("original_image IS NOT NULL AND edited_image IS NOT NULL")
+    rows = files.load_pairs(chosen, "original_path", "edited_path", side, decoder, opener).filter("original_image IS NOT NULL AND edited_image IS NOT NULL")
     rows = rows.withColumns({"face_orig": plugins.shows_face(F.col("original_image"), face_loader), "face_edited": plugins.shows_face(F.col("edited_image"), face_loader)})
     return filters.require_faces(rows).select("original_image", "edited_image", F.col("prompt").alias("edit_prompt"), "face_id", "attribute")
 
@@ -63,32 +61,74 @@ def second_source_stats(pairs: DataFrame, originals: DataFrame, chosen: DataFram
     return totals.crossJoin(missing).crossJoin(selected).crossJoin(by)  # rows of totals, one each
 
 
-def build_mix(first: DataFrame, second: DataFrame | None, repeat: int, seed: int, strip_column: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mix, funnel) of the train rows: strips and lost faces go, persons are repeated, the second source is added, order is seeded.
-
-    Validation rows pass unchanged. first: pair_id, edit_prompt, split and what the filters need.
-    """
+def _flagged(first: DataFrame, strip_column: str | None) -> tuple[DataFrame, DataFrame]:
+    """(train rows with _strip, _lost and _person, validation rows)"""
     first = mixing.normalize_split(first)
-    train, validation = first.filter("split = 'train'"), first.filter("split = 'validation'")
     strip = F.coalesce(F.col(strip_column), F.lit(False)) if strip_column else I.corner_strip()(F.col("edited_image")) if "edited_image" in first.columns else F.lit(False)
     lost = filters.face_lost(F.col("face_orig"), F.col("face_edited")) if "face_orig" in first.columns else F.lit(False)
-    flagged = train.withColumns({"_strip": strip, "_lost": lost})
-    kept = flagged.filter(~F.col("_strip") & ~F.col("_lost")).drop("_strip", "_lost")
-    person = mentions_person(F.col("edit_prompt"))
-    mix = mixing.oversample(kept, person, repeat)
+    train = first.filter("split = 'train'").withColumns({"_strip": strip, "_lost": lost, "_person": mentions_person(F.col("edit_prompt"))})
+    return train, first.filter("split = 'validation'")
+
+
+def _mixed(train: DataFrame, validation: DataFrame, second: DataFrame | None, repeat: int, seed: int) -> DataFrame:
+    """Rows of the mix with their shuffle_key."""
+    kept = train.filter(~F.col("_strip") & ~F.col("_lost"))
+    mix = mixing.oversample(kept, F.col("_person"), repeat).drop("_strip", "_lost", "_person")
     if second is not None:
         mix = mixing.concatenate(mix, second.withColumns({"split": F.lit("train"), "copy": F.lit(1)}))
     keys = [c for c in ("pair_id", "copy", "face_id") if c in mix.columns]
-    funnel = flagged.agg(
-        F.count(F.lit(1)).alias("input"), F.count_if("_strip").alias("dropped_strips"), F.count_if(~F.col("_strip") & F.col("_lost")).alias("face_filtered"),
-        F.count_if(~F.col("_strip") & ~F.col("_lost") & person).alias("person_examples"),
-        F.count_if(~F.col("_strip") & ~F.col("_lost")).alias("_kept"),
-    )
+    return sampling.with_shuffle_key(mix.unionByName(validation.withColumn("copy", F.lit(1)), allowMissingColumns=True), seed, *keys)
+
+
+def _counts() -> list:
+    """What the funnel says of the train rows, as sums that can be taken while they pass."""
+    count = lambda c: F.count(F.when(c, 1))
+    strip, lost = F.col("_strip"), F.col("_lost")
+    return [F.count(F.lit(1)).alias("input"), count(strip).alias("dropped_strips"), count(~strip & lost).alias("face_filtered"), count(~strip & ~lost & F.col("_person")).alias("person_examples"), count(~strip & ~lost).alias("kept")]
+
+
+def build_mix(first: DataFrame, second: DataFrame | None, repeat: int, seed: int, strip_column: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(mix, funnel) of the train rows: strips and lost faces go, persons are repeated, the second source is added, order is seeded.
+
+    Validation rows pass unchanged. first: pair_id, edit_prompt, split and what the filters need. These are two
+    plans, each of which reads first; where flags come from pixels, write_mix() makes both in one pass.
+    """
+    train, validation = _flagged(first, strip_column)
     added = second.agg(F.count(F.lit(1)).alias("second_source")) if second is not None else train.sparkSession.range(1).select(F.lit(0).cast("long").alias("second_source"))
     held = validation.agg(F.count(F.lit(1)).alias("validation"))
-    funnel = funnel.crossJoin(added).crossJoin(held).withColumn("person_repeat", F.lit(repeat))
-    funnel = funnel.withColumn("final", F.col("_kept") + (repeat - 1) * F.col("person_examples") + F.col("second_source")).drop("_kept")
-    return sampling.with_shuffle_key(mix.unionByName(validation.withColumn("copy", F.lit(1)), allowMissingColumns=True), seed, *keys), funnel
+    funnel = train.agg(*_counts()).crossJoin(added).crossJoin(held).withColumn("person_repeat", F.lit(repeat))
+    funnel = funnel.withColumn("final", F.col("kept") + (repeat - 1) * F.col("person_examples") + F.col("second_source")).drop("kept")
+    return _mixed(train, validation, second, repeat, seed), funnel
+
+
+def _observed(seen: Observation) -> dict[str, int]:
+    """What was counted; nothing where Spark knew beforehand that there is no row, and so left the count out."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
+def write_mix(first: DataFrame, second: DataFrame | None, path: str, repeat: int, seed: int, strip_column: str | None = None, tasks: int | None = None) -> DataFrame:
+    """build_mix() written by split in its seeded order; the funnel, counted while the rows passed, which is also written beside it.
+
+    Pixels are looked at once and shuffled once. Reading a split's files in the order of their names gives the
+    order of shuffle_key.
+    """
+    train, validation = _flagged(first, strip_column)
+    seen = {"train": Observation(), "second": Observation(), "validation": Observation()}
+    train, validation = train.observe(seen["train"], *_counts()), validation.observe(seen["validation"], F.count(F.lit(1)).alias("n"))
+    if second is not None:
+        second = second.observe(seen["second"], F.count(F.lit(1)).alias("n"))
+    io.write_ordered(_mixed(train, validation, second, repeat, seed), path, "shuffle_key", tasks)
+    n = {k: _observed(v) for k, v in seen.items() if k != "second" or second is not None}
+    added, held = (n.get(k, {}).get("n", 0) for k in ("second", "validation"))
+    counts = [n["train"].get(k, 0) for k in ("input", "dropped_strips", "face_filtered", "person_examples")]
+    row = (*counts, added, held, repeat, n["train"].get("kept", 0) + (repeat - 1) * counts[-1] + added)
+    kind = "input long, dropped_strips long, face_filtered long, person_examples long, second_source long, validation long, person_repeat int, final long"
+    funnel = first.sparkSession.createDataFrame([row], kind)
+    funnel.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_stats")
+    return funnel
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:

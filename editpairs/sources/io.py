@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from editpairs.functions.image_ops import from_bgr
 from editpairs.functions.text import slug
 from editpairs.schema import IMAGE, require
+from editpairs.sources import files
 
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 
@@ -49,21 +50,28 @@ def write_prepared(pairs: DataFrame, path: str, stats: DataFrame | None = None)
         stats.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_stats")
 
 
+def write_ordered(df: DataFrame, path: str, key: str, tasks: int | None = None) -> None:
+    """df by split, each split's files, by name, in the order of key, a hash in hex: one exchange and one sort, folded into the write.
+
+    A hash is evenly spread, so a row's task follows from its first 32 bits; nothing is sampled beforehand, and
+    what comes before the exchange runs once.
+    """
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * tasks / F.lit(1 << 32)).cast("int")
+    rows = require(df, "split", key).repartitionById(tasks, task).sortWithinPartitions("split", key)
+    rows.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
 def tree_root(spark: SparkSession, path: str) -> str:
     """The folder with train/: <path>/instruct_dataset, path itself, a nested instruct_dataset, or else path."""
     path = path.rstrip("/")
     for candidate in (f"{path}/instruct_dataset", path):
         if _exists(spark, f"{candidate}/train"):
             return candidate
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    level = [p]
-    while level:  # folders only, level by level, until one holds it
-        below = [f.getPath() for q in level for f in fs.listStatus(q) if f.isDirectory()]
-        for q in sorted(below, key=str):
-            if q.getName() == "instruct_dataset" and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(q, "train")):
-                return q.toUri().getPath()
-        level = below
+    for level in files.walk(spark, path):  # folders only matter here, level by level, until one holds it
+        nested = level.filter("is_folder AND name = 'instruct_dataset'").select("path")
+        if found := files.children(nested).filter("is_folder AND name = 'train'").agg(F.min("dir")).first()[0]:
+            return found
     return path
 
 
@@ -152,3 +160,66 @@ def read_details(spark: SparkSession, *paths: str) -> DataFrame:
     """Details of the reports at these paths, named as in read_reports()."""
     rows = spark.read.json([f"{p.rstrip('/')}_details" for p in paths])
     return rows.withColumn("checkpoint", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_details/[^/]+$", 1))
+
+
+#: A whole text, a bracket, or the beginning of a text that has no end yet.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]"]', re.DOTALL)
+
+
+def _details(chunks, array: str):
+    """JSON texts of the objects in the array of this name at a document's top, from the document in chunks; one is held at a time."""
+    buffer, at, begin, depth, key, inside = "", 0, None, 0, None, False
+    for chunk in chunks:
+        buffer += chunk
+        while (found := TOKEN.search(buffer, at)) is not None and found.group() != '"':
+            token, at = found.group(), found.end()
+            if token[0] == '"':
+                key = token if depth == 1 else key
+            elif token in "{[":
+                depth += 1
+                if depth == 2 and token == "[" and key == f'"{array}"':
+                    inside = True
+                elif inside and depth == 3 and token == "{":
+                    begin = found.start()
+            else:
+                depth -= 1
+                if begin is not None and depth == 2:
+                    yield buffer[begin:at]
+                    begin = None
+                elif depth == 1:
+                    inside = False
+        at = len(buffer) if found is None else found.start()
+        cut = at if begin is None else begin
+        buffer, at, begin = buffer[cut:], at - cut, None if begin is None else 0
+
+
+def read_report_details(spark: SparkSession, root: str, schema: str, array: str = "details", chunk: int = 1 << 20) -> DataFrame:
+    """schema and `checkpoint` (the file's name) of the objects in each report's array below root, whatever the reports' size.
+
+    A report is one JSON document. It is read in chunks and taken apart object by object in the task that its
+    path lies in; objects are parsed by Spark.
+    """
+
+    def read(batches):
+        import codecs
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, name = files.store_of(path)
+                with store.open_input_stream(name) as f:
+                    text = codecs.getincrementaldecoder("utf-8")()
+                    pieces = (text.decode(data) for data in iter(lambda: f.read(chunk), b""))
+                    held, size = [], 0
+                    for one in _details(pieces, array):
+                        held.append(one)
+                        size += len(one)
+                        if size >= chunk:
+                            yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(held), pa.string()), "json": pa.array(held, pa.string())})
+                            held, size = [], 0
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(held), pa.string()), "json": pa.array(held, pa.string())})
+
+    paths = files.list_tree(spark, root).filter("name LIKE '%.json'").select("path")
+    rows = paths.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(read, "path string, json string")
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("checkpoint"), F.from_json("json", schema).alias("_d")).select("checkpoint", "_d.*")

@@ -55,7 +55,7 @@ def test_tree_to_loaded_pairs(spark, tmp_path):
     assert io.tree_root(spark, str(tmp_path / "a")).endswith("f/instruct_dataset")
     targets = io.merged_weights(spark, jobs.ATTRIBUTE_TARGETS)
     chosen = jobs.prepare_second_source(found, io.image_inventory(spark, str(tmp_path / "orig")), targets, 10, 1)
-    loaded = jobs.load_second_source(spark, chosen, side=5).collect()
+    loaded = jobs.load_second_source(chosen, side=5).collect()
     assert {(r.original_image.width, r.edited_image.width, r.edited_image.data[:3]) for r in loaded} == {(5, 5, bytes([255, 0, 0])), (5, 5, bytes([0, 255, 0]))}
     read = io.read_chosen_images(spark, chosen.select(F.col("original_path").alias("path"))).collect()
     assert [r.path.rpartition("/")[2] for r in read] == ["42.png"]  # no other file of the folder is decoded

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from editpairs.plans.queries import QUERIES, SQL
+from editpairs.plans.registry import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -28,24 +28,26 @@ def _structs(arrays: list[np.ndarray | None]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=IMAGE.names).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
 
 
-def _each(function, *more) -> list:
-    def call(*x):
-        if any(v is None or (isinstance(v, float) and np.isnan(v)) for v in x):
-            return None
-        try:
-            return function(*x)
-        except ValueError:
-            return None
+def _present(function, *columns) -> list:
+    """function of the rows that have all values, as lists; its results at their places, None elsewhere."""
+    there = [k for k, x in enumerate(zip(*columns)) if not any(v is None or (isinstance(v, float) and np.isnan(v)) for v in x)]
+    out = [None] * len(columns[0])
+    for k, v in zip(there, function(*([c[k] for k in there] for c in columns)) if there else []):
+        out[k] = v
+    return out
+
 
-    return [call(*x) for x in zip(*more)]
+def _one_by_one(function):
+    """A function of lists from one of single images."""
+    return lambda *columns: [function(*x) for x in zip(*columns)]
 
 
-def image_map(function):
-    """A column function image -> image from an array function."""
+def image_map(many):
+    """A column function image -> image from a function of lists of arrays."""
 
     @F.pandas_udf(IMAGE)
     def udf(images: pd.DataFrame) -> pd.DataFrame:
-        return _structs(_each(function, _arrays(images)))
+        return _structs(_present(many, _arrays(images)))
 
     return lambda column: _nullable(udf(column))
 
@@ -54,59 +56,64 @@ def _nullable(image: Column) -> Column:
     return F.when(image["data"].isNotNull(), image)
 
 
-def image_score(function, kind: T.DataType):
+def image_score(many, kind: T.DataType):
     """A column function image -> number, flag or array."""
 
     @F.pandas_udf(kind)
     def udf(images: pd.DataFrame) -> pd.Series:
-        return pd.Series(_each(function, _arrays(images)), dtype=object)
+        return pd.Series(_present(many, _arrays(images)), dtype=object)
 
     return udf
 
 
-def pair_score(function, kind: T.DataType = T.DoubleType()):
+def pair_score(many, kind: T.DataType = T.DoubleType()):
     """A column function (image, image) -> number."""
 
     @F.pandas_udf(kind)
     def udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        return pd.Series(_each(function, _arrays(a), _arrays(b)), dtype=object)
+        return pd.Series(_present(many, _arrays(a), _arrays(b)), dtype=object)
 
     return udf
 
 
+def resized(size_of, kernel: str = "lanczos"):
+    """size_of: (width, height) -> (width, height)"""
+    return image_map(lambda images: P.resize_many(images, [size_of(x.shape[1], x.shape[0]) for x in images], kernel))
+
+
 def bounded(most: int):
-    return image_map(lambda x: P.resize(x, *P.bounded_size(x.shape[1], x.shape[0], most)))
+    return resized(lambda w, h: P.bounded_size(w, h, most))
 
 
 def scaled(most: int):
-    return image_map(lambda x: P.resize(x, *P.scaled_size(x.shape[1], x.shape[0], most)))
+    return resized(lambda w, h: P.scaled_size(w, h, most))
 
 
 def squared(side: int, kernel: str = "lanczos"):
-    return image_map(lambda x: P.resize(x, side, side, kernel))
+    return resized(lambda w, h: (side, side), kernel)
 
 
 def trimmed(threshold: int = 250):
-    return image_map(lambda x: P.trim_light(x, threshold))
+    return image_map(_one_by_one(lambda x: P.trim_light(x, threshold)))
 
 
 def cropped(by: int = 8):
-    return image_map(lambda x: P.crop_edges(x, by))
+    return image_map(_one_by_one(lambda x: P.crop_edges(x, by)))
 
 
-to_rgb = image_map(lambda x: x)
-channel_means = image_score(lambda x: P.channel_means(x).tolist(), T.ArrayType(T.DoubleType()))
-border_anomaly = image_score(P.border_anomaly, T.DoubleType())
+to_rgb = image_map(lambda images: images)
+channel_means = image_score(P.channel_means, T.ArrayType(T.DoubleType()))
+border_anomaly = image_score(_one_by_one(P.border_anomaly), T.DoubleType())
 squared_error = pair_score(P.squared_error)
 
 
 def corner_strip(corner: int = 32, least_pixels: int = 20, dispersion: float = 0.15):
-    return image_score(lambda x: P.corner_strip(x, corner, least_pixels, dispersion), T.BooleanType())
+    return image_score(_one_by_one(lambda x: P.corner_strip(x, corner, least_pixels, dispersion)), T.BooleanType())
 
 
 @F.pandas_udf(IMAGE)
 def _resize_like(image: pd.DataFrame, like: pd.DataFrame) -> pd.DataFrame:
-    return _structs(_each(lambda x, y: P.resize(x, y.shape[1], y.shape[0]), _arrays(image), _arrays(like)))
+    return _structs(_present(lambda x, y: P.resize_many(x, [(v.shape[1], v.shape[0]) for v in y]), _arrays(image), _arrays(like)))
 
 
 def resize_like(image: Column, like: Column) -> Column:
@@ -116,13 +123,20 @@ def resize_like(image: Column, like: Column) -> Column:
 
 @F.pandas_udf(IMAGE)
 def _oriented(image: pd.DataFrame, orientation: pd.Series) -> pd.DataFrame:
-    return _structs(_each(P.oriented, _arrays(image), orientation.fillna(1).astype(int)))
+    return _structs(_present(_one_by_one(P.oriented), _arrays(image), orientation.fillna(1).astype(int).tolist()))
 
 
 def oriented(image: Column, orientation: Column) -> Column:
     return _nullable(_oriented(image, orientation))
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("mse", "ssim", "free")]))
+def outside_mask(original: pd.DataFrame, edited: pd.DataFrame, mask: pd.DataFrame) -> pd.DataFrame:
+    """Squared error, structural similarity and share of what lies outside a pair's mask."""
+    rows = _present(_one_by_one(P.outside_mask), _arrays(original), _arrays(edited), _arrays(mask))
+    return pd.DataFrame([r or (None, None, None) for r in rows], columns=["mse", "ssim", "free"], dtype="float64")
+
+
 def from_bgr(image: Column) -> Column:
     """IMAGE of a struct of Spark's image source, whose channels come in the order blue, green, red."""
 

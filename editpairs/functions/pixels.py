@@ -82,19 +82,45 @@ def _weights(size: int, to: int, kernel: str) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
+def _resized(stack: np.ndarray, width: int, height: int, kernel: str) -> np.ndarray:
+    """Images of one shape, resampled along either side by one matrix product and rounded to bytes after each."""
+    x = stack.astype(np.float64)  # image, row, column, channel
+    whole = lambda v: np.clip(np.floor(np.round(v, 9) + 0.5), 0, 255)  # noqa: E731  the order of a sum's terms decides no half
+    for axis, to in ((2, width), (1, height)):
+        if to != x.shape[axis]:
+            x = np.moveaxis(x, axis, 0)
+            x = whole(_weights(x.shape[0], to, kernel) @ x.reshape(x.shape[0], -1)).reshape(to, *x.shape[1:])
+            x = np.moveaxis(x, 0, axis)
+    return x.astype(np.uint8)
+
+
 def resize(pixels: np.ndarray, width: int, height: int, kernel: str = "lanczos") -> np.ndarray:
     """Separable resampling, rounded to bytes after each direction."""
     if width < 1 or height < 1:
         raise ValueError("an image needs a pixel at least")
-    if pixels.shape[:2] == (height, width):
-        return pixels
-    x = pixels.astype(np.float64)
-    whole = lambda v: np.clip(np.floor(np.round(v, 9) + 0.5), 0, 255)  # noqa: E731  the order of a sum's terms decides no half
-    if width != x.shape[1]:
-        x = whole(_weights(x.shape[1], width, kernel) @ x)  # each row's samples by weights
-    if height != x.shape[0]:
-        x = whole(_weights(x.shape[0], height, kernel) @ x.reshape(x.shape[0], -1)).reshape(height, *x.shape[1:])
-    return x.astype(np.uint8)
+    return pixels if pixels.shape[:2] == (height, width) else _resized(pixels[None], width, height, kernel)[0]
+
+
+#: Samples that are resampled in one product.
+TOGETHER = 1 << 22
+
+
+def resize_many(images: list[np.ndarray], sizes: list[tuple[int, int]], kernel: str = "lanczos") -> list[np.ndarray | None]:
+    """resize() of each image to its (width, height), those of one shape and size together; None where no pixel would be left."""
+    out: list[np.ndarray | None] = [None] * len(images)
+    alike: dict[tuple, list[int]] = {}
+    for k, (x, (w, h)) in enumerate(zip(images, sizes)):
+        if x.shape[:2] == (h, w):
+            out[k] = x
+        elif w > 0 and h > 0 and x.size:
+            alike.setdefault((x.shape, w, h), []).append(k)
+    for (shape, w, h), places in alike.items():
+        step = max(1, TOGETHER // (max(shape[0], h) * max(shape[1], w) * shape[2]))
+        for a in range(0, len(places), step):
+            some = places[a : a + step]
+            for k, x in zip(some, _resized(np.stack([images[k] for k in some]), w, h, kernel)):
+                out[k] = x
+    return out
 
 
 def bounded_size(width: int, height: int, most: int) -> tuple[int, int]:
@@ -135,19 +161,66 @@ def oriented(pixels: np.ndarray, orientation: int) -> np.ndarray:
     return turns.get(orientation, lambda x: x)(pixels)
 
 
-def channel_means(pixels: np.ndarray, side: int = 64) -> np.ndarray:
-    """Means of red, green and blue of a small copy."""
-    return resize(pixels, side, side, "bicubic").reshape(-1, 3).mean(axis=0)
-
-
-def squared_error(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean squared difference of pixels in [0, 1]; b is brought to a's size."""
-    b = resize(b, a.shape[1], a.shape[0])
-    return float(np.mean((a.astype(np.float64) / 255 - b.astype(np.float64) / 255) ** 2))
-
-
-def training_tensor(a: np.ndarray, b: np.ndarray, side: int, flip: bool) -> np.ndarray:
-    """Both images square, channels first, in [-1, 1], flipped alike."""
-    out = np.stack([resize(x, side, side, "bicubic") for x in (a, b)]).transpose(0, 3, 1, 2).astype(np.float32)
-    out = 2 * (out / 255) - 1
-    return out[..., ::-1].copy() if flip else out
+def channel_means(images: list[np.ndarray], side: int = 64) -> list[list[float] | None]:
+    """Means of red, green and blue of a small copy of each image."""
+    small = resize_many(images, [(side, side)] * len(images), "bicubic")
+    return [None if x is None else x.reshape(-1, 3).mean(axis=0).tolist() for x in small]
+
+
+def squared_error(a: list[np.ndarray], b: list[np.ndarray]) -> list[float | None]:
+    """Mean squared difference of each pair's pixels in [0, 1]; b is brought to a's size."""
+    b = resize_many(b, [(x.shape[1], x.shape[0]) for x in a])
+    return [None if y is None else float(np.mean((x.astype(np.float64) / 255 - y.astype(np.float64) / 255) ** 2)) for x, y in zip(a, b)]
+
+
+def window_sums(x: np.ndarray, side: int) -> np.ndarray:
+    """Sums over all side x side windows of a matrix, from its summed-area table."""
+    area = np.zeros((x.shape[0] + 1, x.shape[1] + 1), dtype=x.dtype)
+    area[1:, 1:] = x.cumsum(axis=0).cumsum(axis=1)
+    return area[side:, side:] - area[:-side, side:] - area[side:, :-side] + area[:-side, :-side]
+
+
+def outside_mask(a: np.ndarray, b: np.ndarray, mask: np.ndarray, side: int = 7) -> tuple[float | None, float | None, float]:
+    """What an edit left alone: (mean squared difference in [0, 1], structural similarity, share of pixels) outside the mask.
+
+    A pixel is masked from a gray of 128 on. b and mask are brought to a's size. Similarity is the mean over side x
+    side windows of gray without a masked pixel, with equal weights and the usual constants (0.01, 0.03 of 255);
+    null where no pixel or window is left.
+    """
+    b, mask = (resize(x, a.shape[1], a.shape[0]) for x in (b, mask))
+    free = luma(mask) < 128
+    difference = (a.astype(np.float64) - b.astype(np.float64)) / 255
+    error = float(np.mean(difference[free] ** 2)) if free.any() else None
+    if min(free.shape) < side:
+        return error, None, float(free.mean())
+    x, y, n = luma(a), luma(b), side * side
+    whole = window_sums(free.astype(np.int64), side) == n
+    if not whole.any():
+        return error, None, float(free.mean())
+    sx, sy, sxx, syy, sxy = (window_sums(v, side)[whole].astype(np.float64) / n for v in (x, y, x * x, y * y, x * y))
+    c, d = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    similarity = (2 * sx * sy + c) * (2 * (sxy - sx * sy) + d) / ((sx * sx + sy * sy + c) * (sxx - sx * sx + syy - sy * sy + d))
+    return error, float(similarity.mean()), float(free.mean())
+
+
+def contact_sheet(pairs: list[tuple[np.ndarray | None, np.ndarray | None]], thumb: int, caption: int, gap: int) -> np.ndarray:
+    """A white sheet with a row for each pair, original and edited side by side, below a header and with room for a caption."""
+    sheet = np.full((caption + len(pairs) * (thumb + caption), 2 * thumb + gap, 3), 255, dtype=np.uint8)
+    shown = [(k, side, x) for k, pair in enumerate(pairs) for side, x in enumerate(pair) if x is not None]
+    for (k, side, _), x in zip(shown, resize_many([x for _, _, x in shown], [(thumb, thumb)] * len(shown))):
+        if x is not None:
+            top, left = caption + k * (thumb + caption), side * (thumb + gap)
+            sheet[top : top + thumb, left : left + thumb] = x
+    return sheet
+
+
+def training_tensors(a: list[np.ndarray], b: list[np.ndarray], side: int, flips: list[bool]) -> list[np.ndarray | None]:
+    """Of each pair both images square, channels first, in [-1, 1], flipped alike."""
+    out = []
+    for x, y, flip in zip(*(resize_many(v, [(side, side)] * len(v), "bicubic") for v in (a, b)), flips):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        pair = 2 * (np.stack([x, y]).transpose(0, 3, 1, 2).astype(np.float32) / 255) - 1
+        out.append(np.ascontiguousarray(pair[..., ::-1] if flip else pair, dtype="<f4"))
+    return out

@@ -1,13 +1,11 @@
-"""Prompt functions. All but the caption run in the JVM."""
+"""Prompt functions. All run in the JVM."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Word lists that decide which rows are dropped or repeated.
 PERSON_WORDS = ["man", "woman", "person", "people", "face", "boy", "girl", "child", "baby", "portrait", "selfie", "he", "she"]
@@ -77,9 +75,28 @@ def fixed_length(ids: Column, length: int, pad: int) -> Column:
     return F.concat(F.slice(ids, 1, length), F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(ids), F.lit(0))))
 
 
-@F.pandas_udf(T.StringType())
-def shorten_caption(prompt: pd.Series) -> pd.Series:
-    """White space collapsed, cut between words to 90 characters with an ellipsis."""
-    import textwrap
+#: Pieces between which a line may break: white space, runs of hyphens between words, words up to a hyphen that joins letters.
+PIECES = (
+    r"""(?U) +|(?<=[\w!"'&.,?])-{2,}(?=\w)"""
+    r"""|[^ ]+?(?:-(?:(?<=[^\d\W]{2}-)|(?<=[^\d\W]-[^\d\W]-))(?=[^\d\W]-?[^\d\W])|(?= |\z)|(?<=[\w!"'&.,?])(?=-{2,}\w))"""
+)
 
-    return prompt.map(lambda p: None if p is None else textwrap.shorten(p, width=90, placeholder="…"))
+
+def shorten_caption(prompt: Column, width: int = 90, placeholder: str = "…") -> Column:
+    """White space collapsed, and what is longer than `width` cut behind a piece, with an ellipsis in the room that is left."""
+    text = strip(F.regexp_replace(prompt, r"(?U)[\s\x1c-\x1f]+", " "))
+    room = width - len(placeholder)
+    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+
+    def fold(state: Column, piece: Column) -> Column:
+        before, size = state["n"], F.length(piece)
+        after = before + size
+        # a piece that no line can hold is cut behind its last hyphen that fits
+        head = F.left(piece, width - before)
+        cut = F.regexp_extract(head, r"(?s)^(.*[^-].*-)", 1)
+        inside = F.when((size > width) & (before <= width) & (cut != "") & (before + F.length(cut) <= room), before + F.length(cut))
+        best = F.when((after <= room) & (piece != "") & ~F.startswith(piece, F.lit(" ")), after).otherwise(F.coalesce(inside, state["best"]))
+        return F.struct(after.alias("n"), best.alias("best"))
+
+    found = F.aggregate(pieces, F.struct(F.lit(0).alias("n"), F.lit(0).alias("best")), fold)
+    return F.when(F.length(text) <= width, text).otherwise(F.concat(F.left(text, found["best"]), F.lit(placeholder)))

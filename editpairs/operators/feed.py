@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editpairs.functions import pixels as P
 from editpairs.functions.hashing import seeded_uniform
-from editpairs.functions.image_ops import _arrays
+from editpairs.functions.image_ops import _arrays, _present
 
 ROLES = ["original", "prompt", "edited"]
 
@@ -41,9 +40,8 @@ def training_tensors(pairs: DataFrame, side: int, seed: int, epoch: int, key: st
 
     def tensors(batches):
         for batch in batches:
-            frames = [pd.DataFrame(batch[c].tolist(), columns=["height", "width", "channels", "data"], index=batch.index) for c in ("original_image", "edited_image")]
-            pairs_ = zip(*map(_arrays, frames), batch["flipped"])
-            data = [None if a is None or b is None else np.ascontiguousarray(P.training_tensor(a, b, side, bool(f)), dtype="<f4").tobytes() for a, b, f in pairs_]
-            yield pd.DataFrame({key: batch[key], "flipped": batch["flipped"], "tensor": data})
+            a, b = (_arrays(pd.DataFrame(batch[c].tolist(), columns=["height", "width", "channels", "data"], index=batch.index)) for c in ("original_image", "edited_image"))
+            found = _present(lambda x, y, f: P.training_tensors(x, y, side, f), a, b, batch["flipped"].tolist())
+            yield pd.DataFrame({key: batch[key], "flipped": batch["flipped"], "tensor": [None if t is None else t.tobytes() for t in found]})
 
     return rows.mapInPandas(tensors, f"{key} {dict(pairs.dtypes)[key]}, flipped boolean, tensor binary")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from editpairs.functions import image_ops as I
+from editpairs.functions import pixels as P
 from editpairs.functions.text import mentions_person, shorten_caption
 from editpairs.operators.filters import face_lost
 from editpairs.operators.mixing import fraction
 from editpairs.operators.order_statistics import exact_percentiles
 from editpairs.operators.sampling import stratified
+from editpairs.schema import IMAGE
 
 THUMB, CAPTION, HEADER = 224, 34, 34
 SHEET_WIDTH = 464
@@ -70,7 +73,29 @@ def contact_manifest(sample: DataFrame, group: str, order: str, prompt: str, per
     rows = sample.withColumn("place", place).filter(F.col("place") <= per_group)
     top = HEADER + (F.col("place") - 1) * (THUMB + CAPTION)
     height = HEADER + F.count(F.lit(1)).over(W.partitionBy(group)) * (THUMB + CAPTION)
-    return rows.select(group, order, "place", top.alias("top"), F.lit(SHEET_WIDTH).alias("sheet_width"), height.alias("sheet_height"), shorten_caption(prompt).alias("caption"))
+    return rows.select(group, order, "place", top.alias("top"), F.lit(SHEET_WIDTH).alias("sheet_width"), height.alias("sheet_height"), shorten_caption(F.col(prompt)).alias("caption"))
+
+
+def contact_sheets(sample: DataFrame, group: str, order: str, per_group: int = 12, thumb: int = THUMB, caption: int = CAPTION, gap: int = 16) -> DataFrame:
+    """group and `sheet`, an IMAGE of the first pairs of each group (original_image, edited_image) in order; no text is drawn.
+
+    A sheet has per_group pairs at most, which are picked by narrow rows before their pixels meet.
+    """
+    kind = dict(sample.dtypes)[group]
+    place = F.row_number().over(W.partitionBy(group).orderBy(order))
+    first = sample.select(F.col(group).alias("_g"), F.col(order).alias("_o"), place.alias("_place")).filter(F.col("_place") <= per_group)
+    rows = sample.join(first, F.col(group).eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_o")))
+
+    def compose(table):
+        import pyarrow as pa
+
+        from editpairs.sources.files import as_images
+
+        table = table.sort_by("_place").slice(0, per_group)
+        columns = [[None if i is None else P.rgb(np.frombuffer(i["data"], dtype=np.uint8).reshape(i["height"], i["width"], i["channels"])) for i in table[c].to_pylist()] for c in ("original_image", "edited_image")]
+        return pa.table({group: table[group][:1], "sheet": as_images([P.contact_sheet(list(zip(*columns)), thumb, caption, gap)])})
+
+    return rows.select(group, "_place", "original_image", "edited_image").groupBy(group).applyInArrow(compose, f"{group} {kind}, sheet {IMAGE.simpleString()}")
 
 
 def color_delta(original: str, edited: str) -> Column:

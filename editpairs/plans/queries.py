@@ -125,9 +125,16 @@ def token_pad(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")).alias("ids"))
 
 
-@query()
+# the texts have no hyphens, at which SQL's regular expressions can't break them; tests hold those against the standard library
+CAPTION_SQL = """CASE WHEN length(t) <= 90 THEN t ELSE left(t, coalesce(list_max(list_filter(list_transform(range(1, len(string_split(t, ' ')) + 1), lambda k: length(array_to_string(string_split(t, ' ')[1:k], ' '))), lambda n: n <= 89)), 0)) || '…' END"""
+
+
+COLLAPSED = STRIP.format("regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')")
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, {COLLAPSED} AS t FROM conversations) SELECT conv_id, turn, {CAPTION_SQL} AS caption FROM c")
 def caption_shorten(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.shorten_caption("text").alias("caption"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.shorten_caption(F.col("text")).alias("caption"))
 
 
 # ---- noise, mixing
@@ -588,11 +595,13 @@ def corner_strip(spark, sf_dir):
     return images(spark, sf_dir).select("pair_id", I.corner_strip(5, 5)("edited_image").alias("strip"))
 
 
-@query(f"""WITH {PIXELS_SQL}, g AS (SELECT id, w, x, y, (sum(b * CASE c WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END) + 32768) >> 16 AS l FROM px GROUP BY id, w, x, y)
-  SELECT id AS pair_id, CAST(coalesce(max(x) FILTER (l < 60) - min(x) FILTER (l < 60) + 1, any_value(w)) AS INTEGER) AS width, CAST(coalesce(max(y) FILTER (l < 60) - min(y) FILTER (l < 60) + 1, {HIGH}) AS INTEGER) AS height FROM g GROUP BY id""")
+@query(f"""WITH {PIXELS_SQL}, g AS (SELECT id, w, x, y, (sum(b * CASE c WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END) + 32768) >> 16 AS l FROM px GROUP BY id, w, x, y),
+  k AS (SELECT id, coalesce(min(x) FILTER (l < 60), 0) AS x0, coalesce(max(x) FILTER (l < 60), any_value(w) - 1) AS x1, coalesce(min(y) FILTER (l < 60), 0) AS y0, coalesce(max(y) FILTER (l < 60), {HIGH} - 1) AS y1 FROM g GROUP BY id)
+  SELECT id AS pair_id, CAST(x1 - x0 + 1 AS INTEGER) AS width, CAST(y1 - y0 + 1 AS INTEGER) AS height, md5(string_agg(lpad(hex(b), 2, '0'), '' ORDER BY y, x, c)) AS pixels
+  FROM px JOIN k USING (id) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY id, x0, x1, y0, y1""")
 def trim_border(spark, sf_dir):
     rows = images(spark, sf_dir).select("pair_id", I.trimmed(60)(F.col("edited_image")).alias("i"))
-    return rows.select("pair_id", "i.width", "i.height")
+    return rows.select("pair_id", "i.width", "i.height", F.md5(F.hex("i.data").cast("binary")).alias("pixels"))
 
 
 @query(f"""WITH {PIXELS_SQL} SELECT id AS pair_id, CAST(any_value(w) - 6 AS INTEGER) AS width, {HIGH} - 6 AS height, md5(string_agg(lpad(hex(b), 2, '0'), '' ORDER BY y, x, c)) AS pixels FROM px
@@ -649,9 +658,3 @@ BORDER_SQL = f"""border AS (SELECT id, avg(CASE WHEN hi > 0 AND floor((hi - lo)
     round(count(*) FILTER (border > 0.01) / count(*)::DOUBLE, 4) AS border_fraction, count(*) FILTER (person) AS persons, round(count(*) FILTER (person) / count(*)::DOUBLE, 4) AS person_fraction FROM f""")
 def color_audit(spark, sf_dir):
     return quality.global_audit(jobs.pair_features(images(spark, sf_dir)))
-
-
-@query()
-def paired_transform(spark, sf_dir):
-    out = feed.training_tensors(images(spark, sf_dir), 8, 3, 1, "pair_id")
-    return out.select("pair_id", "flipped", F.md5("tensor").alias("tensor_md5"))

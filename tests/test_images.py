@@ -117,3 +117,45 @@ def test_features_and_mix(spark):
 
 def test_schema():
     assert IMAGE.names == ["height", "width", "channels", "data"]
+
+
+def test_batches_equal_single_images():
+    rng = np.random.default_rng(4)
+    xs = [rng.integers(0, 256, (h, w, 3)).astype(np.uint8) for h, w in [(9, 7), (9, 7), (5, 12), (9, 7), (64, 64), (1, 1), (5, 12)]]
+    sizes = [(4, 3), (20, 30), (4, 3), (4, 3), (64, 64), (6, 2), (0, 3)]
+    for kernel in ("lanczos", "bicubic"):
+        got = P.resize_many(xs, sizes, kernel)
+        assert got[-1] is None and all((g == P.resize(x, *size, kernel)).all() for g, x, size in zip(got[:-1], xs, sizes))
+    P.TOGETHER, kept = 1, P.TOGETHER
+    try:
+        assert all((a == b).all() for a, b in zip(P.resize_many(xs[:6], sizes[:6]), [P.resize(x, *size) for x, size in zip(xs, sizes[:6])]))
+    finally:
+        P.TOGETHER = kept
+    assert P.squared_error([xs[0]], [xs[1]]) == pytest.approx([np.mean((xs[0] / 255.0 - xs[1] / 255.0) ** 2)])
+
+
+def test_outside_mask():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (16, 20, 3)).astype(np.uint8)
+    b, mask = a.copy(), np.zeros((16, 20, 3), np.uint8)
+    b[:8, :8] = 0
+    mask[:8, :8] = 255
+    error, similarity, free = P.outside_mask(a, b, mask)
+    assert (error, similarity) == (0.0, pytest.approx(1.0)) and free == 1 - 64 / 320
+    b[10:] ^= 128
+    error, similarity, _ = P.outside_mask(a, b, mask)
+    assert error > 0.1 and similarity < 0.9
+    assert P.outside_mask(a, b, flat(20, 16, 255)) == (None, None, 0.0) and P.outside_mask(a[:5], b[:5], flat(20, 5, 0))[1] is None
+    x = rng.integers(0, 9, (6, 7))
+    assert (P.window_sums(x, 3) == [[x[r : r + 3, c : c + 3].sum() for c in range(5)] for r in range(4)]).all()
+
+
+def test_contact_sheets(spark):
+    from editpairs.operators import quality
+
+    kind = IMAGE.simpleString()
+    rows = [(g, k, struct(flat(5, 5, 10 * k)), None if (g, k) == ("a", 1) else struct(flat(2, 9, 100))) for g in ("a", "b") for k in range(4 if g == "a" else 1)] + [(None, 7, struct(flat(3, 3, 1)), None)]
+    got = {r.g: r.sheet for r in quality.contact_sheets(spark.createDataFrame(rows, f"g string, k int, original_image {kind}, edited_image {kind}"), "g", "k", 3, 4, 2, 1).collect()}
+    assert got.keys() == {"a", "b", None} and (got["a"].height, got["a"].width, got["b"].height) == (2 + 3 * 6, 9, 8)
+    x = np.frombuffer(got["a"].data, np.uint8).reshape(20, 9, 3)
+    assert (x[:2] == 255).all() and (x[2:6, :4] == 0).all() and (x[2:6, 5:] == 100).all() and (x[8:12, :4] == 10).all() and (x[8:12, 4:] == 255).all() and (x[14:18, :4] == 20).all() and (x[:, 4] == 255).all()

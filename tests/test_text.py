@@ -53,3 +53,17 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0, 0.0])], "a array<float>, b array<float>")
     got = df.select(cosine(F.col("a"), F.col("b")).alias("x"), cosine_batch("a", "b").alias("y")).collect()
     assert abs(got[0].x - 2**-0.5) < 1e-9 and abs(got[0].y - 2**-0.5) < 1e-9 and got[1].x is None and got[2].x is None
+
+
+def test_captions_equal_the_standard_library(spark):
+    import random
+    import textwrap
+
+    rng = random.Random(1)
+    parts = ["a", "wörd", "well-known", "state-of-the-art", "--", "em--dash", "x-1", "1-2-3", "-", "'tis-it", "e-mail", "…", "  ", "\t\n", " ", "　", "longer", "it's--so", "a-b", "über-groß", "(so-called)", "9-to-5", "z" * 30, "-" * 12]
+    texts = ["", " ", "short", "x" * 90, "x" * 91, "y" * 200, "a " * 60, "w " + "x" * 300, "ab-" + "x" * 300, "q " * 20 + "zz-yy-" + "x" * 200, "-" * 200, "--" + "x" * 300, "a" * 50 + "-" + "b" * 39, None]
+    texts += [rng.choice(["", " "]) + rng.choice([" ", "  ", ""]).join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    texts += [" ".join(rng.choice(parts) for _ in range(rng.randint(10, 40))) for _ in range(600)]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.shorten_caption(F.col("t")).alias("c")).collect()
+    for r in got:
+        assert r.c == (None if texts[r.k] is None else textwrap.shorten(texts[r.k], width=90, placeholder="…")), repr(texts[r.k])

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def grid(prompts: DataFrame, checkpoints: DataFrame, base_seed: int, variants: int) -> DataFrame:
-    """Every prompt with every seed and checkpoint; prompts and checkpoints are short lists by definition."""
+    """Every prompt with every seed and checkpoint; prompts and checkpoints are lists by definition, which Spark broadcasts if they are small."""
     seeds = prompts.withColumn("seed", F.explode(F.sequence(F.lit(base_seed), F.lit(base_seed + variants - 1))))
-    return seeds.crossJoin(F.broadcast(checkpoints))
+    return seeds.crossJoin(checkpoints)
 
 
 def versus(candidate: DataFrame, baseline: DataFrame, key: str) -> DataFrame:

@@ -39,12 +39,10 @@ def fraction(part: Column, whole: Column) -> Column:
 def oversample_stats(df: DataFrame, prompt: str, repeat: int, has_strip: Column | None = None, validation: DataFrame | None = None) -> DataFrame:
     """Counts of a mix of df's rows, those without a strip if has_strip is given; with dropped_corner_strips and validation, 0 if not given."""
     strip = F.lit(False) if has_strip is None else F.coalesce(has_strip, F.lit(False))
-    dropped = df.agg(F.count_if(strip).alias("dropped_corner_strips"))  # one row, as all that follow
-    held = (df.filter("false") if validation is None else validation).agg(F.count(F.lit(1)).alias("validation"))
-    df = df.filter(~strip)
     person = mentions_person(F.col(prompt))
-    counts = df.agg(F.count(F.lit(1)).alias("original"), F.count_if(person).alias("person_examples"))
-    return counts.crossJoin(dropped).crossJoin(held).select(
+    counts = df.agg(F.count_if(strip).alias("dropped_corner_strips"), F.count_if(~strip).alias("original"), F.count_if(~strip & person).alias("person_examples"))
+    held = (df.filter("false") if validation is None else validation).agg(F.count(F.lit(1)).alias("validation"))
+    return counts.crossJoin(held).select(  # one row each
         "dropped_corner_strips", "validation", "original", "person_examples", fraction(F.col("person_examples"), F.col("original")).alias("person_fraction"),
         F.lit(repeat).alias("person_repeat"), (F.col("original") + (repeat - 1) * F.col("person_examples")).alias("mixed"),
     )

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from editpairs.functions import image_ops as I
 from editpairs.functions import pixels as P
-from editpairs.functions.text import mentions_person, shorten_caption
+from editpairs.functions.text import is_generic, mentions_person, shorten_caption
 from editpairs.operators.filters import face_lost
 from editpairs.operators.mixing import fraction
 from editpairs.operators.order_statistics import exact_percentiles
-from editpairs.operators.sampling import stratified
+from editpairs.operators.sampling import up_to
 from editpairs.schema import IMAGE
 
 THUMB, CAPTION, HEADER = 224, 34, 34
@@ -22,11 +22,22 @@ SHEET_WIDTH = 464
 
 def audit_sample(pairs: DataFrame, per_attribute: int, control: int, seed: int, key: str) -> DataFrame:
     """Up to per_attribute rows of each attribute of the second source, and up to `control` of the first as `control`."""
-    spark = pairs.sparkSession
     group = F.when(F.col("face_id").isNull(), "control").otherwise(F.col("attribute"))
     rows = pairs.withColumn("audit_group", group).filter("audit_group IS NOT NULL")
-    names = rows.filter("audit_group <> 'control'").select("audit_group").distinct().withColumn("target", F.lit(per_attribute))
-    return stratified(rows, "audit_group", key, names.union(spark.createDataFrame([("control", control)], "audit_group string, target int")), seed)
+    return up_to(rows, "audit_group", key, F.when(F.col("audit_group") == "control", control).otherwise(per_attribute), seed)
+
+
+def prompt_vagueness(pairs: DataFrame, prompt: str = "edit_prompt", group: str = "attribute", words: int = 3) -> DataFrame:
+    """Per group: prompts, the generic ones and their share, and how many words prompts have (least, mean, most)."""
+    text = F.col(prompt)
+    rows = pairs.select(group, is_generic(text, words).alias("vague"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)[\w'-]+")).alias("words"))
+    out = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if("vague").alias("vague"), F.min("words").alias("least_words"), F.avg("words").alias("mean_words"), F.max("words").alias("most_words"))
+    return out.withColumn("vague_fraction", fraction(F.col("vague"), F.col("n")))
+
+
+def vague_prompts(pairs: DataFrame, per_group: int, seed: int, key: str, prompt: str = "edit_prompt", group: str = "attribute", words: int = 3) -> DataFrame:
+    """A sample of each group's generic prompts, for people to look at."""
+    return up_to(pairs.filter(is_generic(F.col(prompt), words)), group, key, F.lit(per_group), seed)
 
 
 #: Percentiles of an audit: name -> column and share.

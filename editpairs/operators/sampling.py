@@ -19,11 +19,16 @@ SLICES = 256
 def stratified(df: DataFrame, stratum: str, key: str, targets: DataFrame, seed: int) -> DataFrame:
     """Per stratum `target` rows, or all where target is null or more; strata not in targets give none.
 
-    targets: (stratum, target), a small configuration table.
+    targets: (stratum, target), a configuration table. Spark broadcasts it if it is small.
     """
-    targets = targets.select(F.col(stratum).alias("_stratum"), F.col("target").alias("_target"))
-    rows = df.join(F.broadcast(targets), F.col(stratum) == F.col("_stratum")).drop("_stratum")
-    rows = rows.filter("_target IS NULL OR _target > 0").withColumn("_order", seeded_key(seed, key))
+    targets = targets.select(F.col(stratum).alias("_stratum"), F.col("target").alias("_given"))
+    rows = df.join(targets, F.col(stratum) == F.col("_stratum")).drop("_stratum")
+    return up_to(rows, stratum, key, F.col("_given"), seed).select(*df.columns)
+
+
+def up_to(df: DataFrame, stratum: str, key: str, target: Column, seed: int) -> DataFrame:
+    """Per stratum `target` rows, one number for all of a stratum's rows, or all where it is null or more."""
+    rows = df.withColumn("_target", target).filter("_target IS NULL OR _target > 0").withColumn("_order", seeded_key(seed, key))
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(SLICES)))
     # one scan: strata that are taken whole stay in slices, the others meet after the first cut
     for by in (F.col("_slice"), F.when(F.col("_target").isNull(), F.col("_slice"))):

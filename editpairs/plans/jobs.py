@@ -13,6 +13,7 @@ from editpairs.sources import files, io
 
 # How many pairs of each attribute are taken; null is all, 0 none.
 ATTRIBUTE_TARGETS = {"glasses": None, "beard": None, "eyes": None, "hair": 5000, "age": 3000, "gender": 2000, "expression": 2000, "skin": 1000, "anime": 0}
+# The given columns of raw pairs, and their names here.
 RAW_NAMES = {"source_img": "original_image", "target_img": "edited_image", "instruction": "edit_prompt"}
 
 

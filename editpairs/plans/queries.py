@@ -17,6 +17,7 @@ from editpairs.functions.vectors import cosine
 from editpairs.operators import evaluation, feed, filters, mixing, pairing, quality, sampling
 from editpairs.plans import jobs
 from editpairs.sources import io
+from editpairs.sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -209,8 +210,8 @@ def second_source_stats(spark, sf_dir):
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, row_number() OVER (ORDER BY p_partkey) AS place FROM part")
 def numeric_order(spark, sf_dir):
     rows = sampling.by_number(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id")), "id")
-    # places from the sorted partitions' sizes, so that no single task sees all rows
-    rows = rows.select("id", F.monotonically_increasing_id().alias("at"))
+    # places from the sorted partitions' sizes, so that no single task sees all rows; written, so that both readers see one order
+    rows = written(rows.select("id", F.monotonically_increasing_id().alias("at")), "sorted-ids")
     part = F.shiftright("at", 33)
     sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
@@ -473,6 +474,21 @@ def pair_similarity(spark, sf_dir):
     return rows.select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("next")), 6).alias("pair_sim"))
 
 
+VAGUE_SQL = f"v AS (SELECT role AS attribute, conv_id * 1000 + turn AS pair_id, {generic_sql('text', 60)} AS vague, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_''-]+')) AS words FROM conversations)"
+
+
+@query(f"WITH {VAGUE_SQL} SELECT attribute, count(*) AS n, count(*) FILTER (vague) AS vague, CAST(min(words) AS INTEGER) AS least_words, round(avg(words), 6) AS mean_words, CAST(max(words) AS INTEGER) AS most_words, round(count(*) FILTER (vague) / count(*)::DOUBLE, 6) AS vague_fraction FROM v GROUP BY attribute")
+def prompt_vagueness(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("role").alias("attribute"), F.col("text").alias("edit_prompt"))
+    return rounded(quality.prompt_vagueness(rows, words=60))
+
+
+@query(f"WITH {VAGUE_SQL} SELECT attribute, pair_id FROM v WHERE vague QUALIFY row_number() OVER (PARTITION BY attribute ORDER BY {key_sql(6, 'pair_id')}, pair_id) <= 20")
+def vague_prompts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("role").alias("attribute"), F.col("text").alias("edit_prompt"))
+    return quality.vague_prompts(rows, 20, 6, "pair_id", words=60).select("attribute", "pair_id")
+
+
 @query(f"WITH {PAIRS_SQL} SELECT pair_id FROM pairs WHERE NOT (face_orig AND NOT face_edited)")
 def face_loss_filter(spark, sf_dir):
     return filters.keep_faces(pairs(spark, sf_dir)).select("pair_id")

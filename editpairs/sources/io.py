@@ -113,9 +113,11 @@ def decode(files: DataFrame, decoder) -> DataFrame:
 
 
 def read_image_folder(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of metadata.jsonl (file_name and captions) with their images."""
-    captions = spark.read.json(f"{root.rstrip('/')}/metadata.jsonl")
-    images = read_images(spark, root).withColumn("file_name", F.regexp_extract("path", "([^/]*)$", 1)).drop("path")
+    """Rows of metadata.jsonl (file_name, a path below root, and captions) with their images."""
+    root = root.rstrip("/")
+    captions = spark.read.json(f"{root}/metadata.jsonl")
+    top = re.sub("^file:/*", "/", root)
+    images = read_images(spark, root).withColumn("file_name", F.substring(F.col("path"), F.lit(len(top) + 2), F.length("path"))).drop("path")
     return captions.join(images, "file_name")
 
 

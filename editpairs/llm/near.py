@@ -4,8 +4,10 @@ A unit is a text or a part of one; equal word sequences are one unit with a weig
 units' candidate edges (op7 from bands, op8 from a forest of tries); components of these edges bring
 together all that must be compared, so a unit's shingles travel once. Within a component all pairs are
 verified exactly, by block products of the incidence matrix; what leaves a task is a row a unit: its links,
-and an edge to the least unit it is connected with. Components of more than BLOCK units are dealt out by
-pairs of blocks.
+and an edge to the least unit it is connected with. Small components share bins, larger ones are dealt out by
+pairs of blocks; bins and blocks are bounded by units and by bytes of shingles, so that very long texts take no
+more of a task's memory than many short ones. A task needs some ten times its shingles' bytes, and those of
+one text at least.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
 #: Units compared in one product; components of SMALL units at most are compared some thousands of units at a time.
 BLOCK, SMALL, TOGETHER = 1024, 24, 4096
+#: Bytes of shingles of a bin, and of a block.
+BIN_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
 COLUMNS = 8192
 
 
@@ -33,13 +37,13 @@ def recall(depth: int, times: int, similarity: float) -> float:
     return 1 - (1 - similarity**depth) ** times
 
 
-def minima(texts: list[str], n: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(numbers of the texts that have a word, unit of each, n MinHash values of each, as 32-bit numbers)"""
+def minima(texts: list[str], n: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(numbers of the texts that have a word, unit of each, n MinHash values of each, as 32-bit numbers, bytes of its shingles)"""
     word, text, _ = words(texts)
     count = np.bincount(text, minlength=len(texts)) if len(text) else np.zeros(len(texts), dtype=np.int64)
     some = np.flatnonzero(count)
     if not len(some):
-        return some, [], np.zeros((0, n), dtype=np.uint32)
+        return some, [], np.zeros((0, n), dtype=np.uint32), some
     first = np.concatenate(([0], np.cumsum(count)))[:-1]
     one = range_hash(prefix_hash(word), first[some], (first + count)[some])
     two = range_hash(prefix_hash(mix64(word + np.uint64(1))), first[some], (first + count)[some])
@@ -51,7 +55,7 @@ def minima(texts: list[str], n: int) -> tuple[np.ndarray, list[bytes], np.ndarra
     for k in range(n):
         a, b = random.integers(0, 1 << 32, 2, dtype=np.uint32)
         out[:, k] = np.minimum.reduceat(hashed * (a | np.uint32(1)) + b, heads)
-    return some, [u.tobytes() for u in np.stack([one, two], axis=1)], out
+    return some, [u.tobytes() for u in np.stack([one, two], axis=1)], out, 8 * np.diff(np.append(heads, len(owner)))
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -151,14 +155,18 @@ def small_links(table: pa.Table) -> pa.Table:
     return pa.table({"unit": pa.array([unit[k] for k in hit], pa.binary()), "links": links[hit].astype(np.int64), "linked": pa.array([unit[label[k]] for k in hit], pa.binary())})
 
 
-def verified(sets: DataFrame, units: int) -> DataFrame:
+def verified(sets: DataFrame, units: int, size: int) -> DataFrame:
     """unit, links (weighted), linked (least unit reached within a task): a row or a few a unit.
 
-    sets: unit, weight, component, shingles (64-bit numbers as bytes), n (units of the component); units: of all components.
+    sets: unit, weight, component, shingles (64-bit numbers as bytes), and of the component n units and `bytes` of
+    shingles; units, size: the sums of both over all components.
     """
-    few = sets.filter(F.col("n") <= SMALL).withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(-(-units // TOGETHER) or 1)))
+    small = (F.col("n") <= SMALL) & (F.col("bytes") <= BIN_BYTES)
+    bins = max(1, -(-units // TOGETHER), -(-size // BIN_BYTES))
+    few = sets.filter(small).withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins)))
     few = few.groupBy("bin").applyInArrow(small_links, "unit binary, links long, linked binary")
-    out = sets.filter(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    out = sets.filter(~small).withColumn("blocks", blocks)
     out = out.withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks").cast("long")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "unit", "weight", "shingles")
@@ -211,15 +219,17 @@ def sets_of(texts: DataFrame) -> DataFrame:
 def near_classes(units: DataFrame, edges: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """unit, links, component of the units that are similar to another.
 
-    units: unit, weight and what texts_of needs; edges (a, b): candidates, connected if they are to be
+    units: unit, weight, size (bytes of its shingles) and what texts_of needs; edges (a, b): candidates, connected if they are to be
     compared; texts_of: such units with their `component` -> the same with `text`. links: the weights of other
     units with a similarity of SIMILARITY or more; component: the least unit connected by such links.
     """
     near = written(components(edges).withColumnRenamed("node", "unit"), "candidate-components")
     sets = sets_of(texts_of(units.join(near, "unit")))
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = units.select("unit", "size").join(near, "unit").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    sizes = written(sizes, "component-sizes")
     sets = written(sets.join(sizes, "component"), "shingles")
-    checked = written(verified(sets, near.count()), "verified")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    checked = written(verified(sets, *total), "verified")
     discard(sets)
     links = checked.groupBy("unit").agg(F.sum("links").alias("links"))
     joined = components(checked.select(F.col("unit").alias("a"), F.col("linked").alias("b"))).withColumnRenamed("node", "unit")

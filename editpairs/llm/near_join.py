@@ -37,17 +37,17 @@ FLOOR = floor_for(TREES, DEPTH, RECALL)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """row, doc_id, unit, path (TREES x DEPTH values, big-endian) of the rows of docs (row, doc_id, text) that have a word."""
+    """row, doc_id, unit, path (TREES x DEPTH values, big-endian), size (bytes of shingles) of the rows of docs (row, doc_id, text) that have a word."""
 
     def each(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in blocks_of(texts):
-                some, unit, least = minima(texts[a:b], TREES * DEPTH)
+                some, unit, least, size = minima(texts[a:b], TREES * DEPTH)
                 at = pa.array(some + a)
-                yield pa.RecordBatch.from_pydict({"row": batch.column(0).take(at), "doc_id": batch.column(1).take(at), "unit": pa.array(unit, pa.binary()), "path": pa.array([x.tobytes() for x in least.astype(">u4")], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"row": batch.column(0).take(at), "doc_id": batch.column(1).take(at), "unit": pa.array(unit, pa.binary()), "path": pa.array([x.tobytes() for x in least.astype(">u4")], pa.binary()), "size": size})
 
-    return docs.select("row", "doc_id", "text").mapInArrow(each, "row long, doc_id long, unit binary, path binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(each, "row long, doc_id long, unit binary, path binary, size long")
 
 
 def climbed(batches, part: int, least: int = LEAST):
@@ -192,7 +192,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     docs = with_row(docs)
     paths = written(signed(docs), "signatures")
     items = written(paths.select("doc_id", "row", "unit"), "signed-rows")
-    units = paths.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.first("path").alias("path"), F.min("row").alias("row"))
+    units = paths.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.first("path").alias("path"), F.first("size").alias("size"), F.min("row").alias("row"))
     units = written(units, "units")
     discard(paths)
     texts = lambda wanted: wanted.select("unit", "weight", "component", "row").join(docs.select("row", "text"), "row")

@@ -21,13 +21,14 @@ from editpairs.llm.common import BASE, blocks_of, mix64, written
 from editpairs.llm.near import SIMILARITY, minima, near_classes, with_row
 from editpairs.llm.passages import paragraphs, repeated_windows
 
-ROWS, RECALL = 3, 0.998
+#: Five values a band: with three, unrelated paragraphs of one kind of text chain into components that grow faster than the data.
+ROWS, RECALL = 5, 0.998
 #: Bands that give two paragraphs of a similarity of 0.8 this chance to collide.
 BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - float(SIMILARITY) ** ROWS))
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """row, doc_id, no, start, end, text, unit, keys (one a band) of the paragraphs of docs (row, doc_id, text, at, n)."""
+    """row, doc_id, no, start, end, text, size (bytes of shingles), unit, keys (one a band) of the paragraphs of docs (row, doc_id, text, at, n)."""
 
     def each(batches):
         for batch in batches:
@@ -38,18 +39,18 @@ def banded(docs: DataFrame) -> DataFrame:
                 if not found:
                     continue
                 part = [texts[i][s:e] for i, _, s, e in found]
-                some, unit, least = minima(part, BANDS * ROWS)
+                some, unit, least, size = minima(part, BANDS * ROWS)
                 keys = np.zeros((len(some), BANDS), dtype=np.uint64)
                 for k in range(BANDS * ROWS):
                     keys[:, k // ROWS] = mix64(keys[:, k // ROWS] * np.uint64(BASE) + least[:, k].astype(np.uint64) + np.uint64(1))
                 of, no, start, end = np.array(found)[some].T
                 yield pa.RecordBatch.from_pydict({
                     "row": batch.column(0).take(pa.array(of)), "doc_id": batch.column(1).take(pa.array(of)), "no": no, "start": start, "end": end,
-                    "text": pa.array([part[k] for k in some.tolist()], pa.string()), "unit": pa.array(unit, pa.binary()),
+                    "text": pa.array([part[k] for k in some.tolist()], pa.string()), "size": size, "unit": pa.array(unit, pa.binary()),
                     "keys": pa.ListArray.from_arrays(np.arange(len(unit) + 1, dtype=np.int32) * BANDS, keys.view(np.int64).ravel()),
                 })
 
-    out = docs.select("row", "doc_id", "text", "at", "n").mapInArrow(each, "row long, doc_id long, no long, start long, end long, text string, unit binary, keys array<long>")
+    out = docs.select("row", "doc_id", "text", "at", "n").mapInArrow(each, "row long, doc_id long, no long, start long, end long, text string, size long, unit binary, keys array<long>")
     return written(out, "paragraphs")
 
 
@@ -72,7 +73,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """
     docs = with_row(docs)
     items = banded(docs.join(repeated_windows(docs), "row"))
-    units = items.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"), F.first("text").alias("text"), F.min(F.struct("doc_id", "row", "no")).alias("first"))
+    units = items.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"), F.first("text").alias("text"), F.first("size").alias("size"), F.min(F.struct("doc_id", "row", "no")).alias("first"))
     units = written(units, "paragraph-units")
     near = near_classes(units, collisions(units), lambda wanted: wanted)
     units = units.select("unit", "weight", "first").join(near, "unit", "left").filter("weight > 1 OR links > 0").withColumn("component", F.coalesce("component", "unit"))

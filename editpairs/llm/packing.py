@@ -1,13 +1,14 @@
 """Packing of documents into sequences by lexical retrieval (operator 10).
 
 Documents are encoded once. Their terms are token ids, and a term's document frequency is counted over all
-documents; that table has a row an id of the vocabulary at most. Documents with the same heaviest term (by
-BM25, of those that other documents have too) go to the same shard, so a document's lexical neighbours are
-at hand whatever the corpus' size. Terms with few ids share a shard of about SHARD_TOKENS; those with more
-are dealt over as many shards as they need, row by row. Each shard builds a BM25 inverted index. A seed
-document asks its shard's index for unused neighbours and takes them, best first, until its window is full;
-what doesn't fit of the last one stays for another window. Windows inside a long document are sequences by
-themselves. So all sequences but a shard's last are full.
+documents; that table has a row an id of the vocabulary at most. Documents are put in order of their PATH
+heaviest terms (by BM25, of those that other documents have too), over range partitions: those with the same
+heaviest term lie together, and where they are too many for a shard they are told apart by the next ones, so a
+common term is never dealt out at random, whatever the corpus' size. A shard is a run of documents in this
+order with about SHARD_TOKENS ids. Each shard builds a BM25 inverted index. A seed document asks its shard's
+index for unused neighbours and takes them, best first, until its window is full; what doesn't fit of the last
+one stays for another window. Windows inside a long document are sequences by themselves. So all sequences but
+a shard's last are full.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from editpairs.llm.common import binary_column, written
+from editpairs.llm.common import binary_column, partitions, written
 from editpairs.llm.tokens import as_binary, encoder, tokenizer_path
 
 LENGTH = 2048
 SHARD_TOKENS = 1_000_000
+#: Heaviest terms that order documents; shards of a range partition, about, where there are more shards than partitions.
+PATH, SHARDS = 4, 64
 #: Terms of a seed that are looked up, and BM25's two parameters.
 TERMS, K1, B = 16, 1.2, 0.75
 
@@ -68,30 +73,16 @@ def document_frequency(rows: DataFrame, dtype: np.dtype) -> dict[int, int]:
     return {r["term"]: r["n"] for r in found.collect()}
 
 
-def heaviest(column: pa.Array, dtype: np.dtype, weight: np.ndarray) -> np.ndarray:
-    """Of each document the term that weighs most, the least id of equal ones; -1 if none weighs anything."""
-    out = np.full(len(column), -1, dtype=np.int64)
+def heaviest(column: pa.Array, dtype: np.dtype, weight: np.ndarray, k: int = PATH) -> np.ndarray:
+    """Of each document the k terms that weigh most, heaviest first, the lesser id of equal ones; -1 where no more weigh anything."""
+    out = np.full((len(column), k), -1, dtype=np.int64)
     for a in range(0, len(column), 500):
         doc, term, count = term_counts(column.slice(a, 500), dtype)
         heavy = weight[term] * count * (K1 + 1) / (count + K1)
         order = np.lexsort((term, -heavy, doc))
-        first = order[np.searchsorted(doc, np.unique(doc))]  # doc is in order, and lexsort keeps that
-        out[a + doc[first]] = np.where(heavy[first] > 0, term[first], -1)
-    return out
-
-
-def shards_of(tokens: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
-    """First shard and number of shards of each term; tokens: term -> ids of its documents."""
-    out, shard, held = {}, 0, 0
-    for term in sorted(tokens):
-        n = tokens[term]
-        if held and held + n > most:
-            shard, held = shard + 1, 0
-        out[term] = (shard, max(1, -(-n // most)))
-        if n > most:
-            shard, held = shard + out[term][1], 0
-        else:
-            held += n
+        place = np.arange(len(order)) - np.searchsorted(doc, doc)  # doc is in order, and lexsort keeps that
+        top = order[(place < k) & (heavy[order] > 0)]
+        out[a + doc[top], place[(place < k) & (heavy[order] > 0)]] = term[top]
     return out
 
 
@@ -173,47 +164,49 @@ def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int, spaces: str =
     """doc_id and PIECES for every row of docs (doc_id, text); each row's ids lie in its pieces once.
 
     sequence_id is the shard's number * 2^32 + the sequence's number in it. A null or empty text is its end
-    id; rows that repeat an id are packed each; extra columns are ignored; an empty table gives no piece.
+    id; rows that repeat an id are packed each; a text's ids must fit into a task's memory; extra columns are
+    ignored; an empty table gives no piece.
     """
+    spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     rows = encoded(docs, tokenizer, end_id, spaces)
     dtype = encoder(tokenizer, spaces).dtype
-    n_docs, df = rows.count(), document_frequency(rows, dtype)
+    (n_docs, n_ids), df = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first(), document_frequency(rows, dtype)
     idf, shared = np.zeros(max(df, default=0) + 1), np.zeros(max(df, default=0) + 1)
     count = np.array(list(df.values()))
     idf[list(df)] = np.log(1 + (n_docs - count + 0.5) / (count + 0.5))
     shared[list(df)] = np.where(count > 1, idf[list(df)], 0)  # a term of one document has no neighbour
-    idf = docs.sparkSession.sparkContext.broadcast((idf, shared))
+    idf = spark.sparkContext.broadcast((idf, shared))  # two numbers an id of the vocabulary
 
-    def weigh(batches):
-        total: dict[int, int] = {}
+    def order(batches):
         for batch in batches:
-            for term, n in zip(heaviest(batch.column(0), dtype, idf.value[1]).tolist(), batch.column(1).to_pylist()):
-                total[term] = total.get(term, 0) + n
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+            path = (heaviest(batch.column(1), dtype, idf.value[1]) + 1).astype(">u4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.tobytes() for p in path], pa.binary())], names=["doc_id", "ids", "path"])
 
-    sums = rows.select("ids", "n").mapInArrow(weigh, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    shards = shards_of({r["term"]: r["n"] for r in sums.collect()}, SHARD_TOKENS)  # a row an id of the vocabulary at most
+    def pieces(held: list, number: int) -> pa.RecordBatch:
+        ids = [x for _, x in held]
+        doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pack(ids, idf.value[0])))
+        crc = [zlib.crc32(ids[i][s : s + n].astype("<u4").tobytes()) for i, s, n in zip(doc.tolist(), start.tolist(), length.tolist())]
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array([held[i][0] for i in doc.tolist()], doc_type), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": np.array([len(x) for x in ids], dtype=np.int64)[doc], "sequence_id": (number << 32) + sequence, "offset": offset})
 
-    def deal(batches):
+    def shards(batches):
+        held, size, number = [], 0, TaskContext.get().partitionId() * (64 * SHARDS)
         for batch in batches:
-            at = [shards[t] for t in heaviest(batch.column(1), dtype, idf.value[1]).tolist()]
-            first, n = np.array(at, dtype=np.int64).reshape(-1, 2).T
-            shard = first + batch.column(2).to_numpy() % n
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard)], names=["doc_id", "ids", "shard"])
-
-    def shard(table: pa.Table) -> pa.Table:
-        ids = [np.frombuffer(x, dtype=dtype) for x in table["ids"].to_pylist()]
-        pieces = pack(ids, idf.value[0])
-        doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces))
-        crc = [zlib.crc32(ids[i][s : s + n].astype("<u4").tobytes()) for i, s, n, _, _ in pieces]
-        base = table["shard"][0].as_py() << 32
-        return pa.table({"doc_id": table["doc_id"].take(pa.array(doc)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": np.array([len(x) for x in ids], dtype=np.int64)[doc], "sequence_id": base + sequence, "offset": offset})
-
-    # a term's rows are dealt by their place in the written table, so that copies are spread
-    rows = rows.select("doc_id", "ids", F.abs(F.xxhash64(F.monotonically_increasing_id()) % (1 << 31)).alias("place"))
-    rows = rows.mapInArrow(deal, f"doc_id {kind}, ids binary, shard long")
-    return rows.groupBy("shard").applyInArrow(shard, f"doc_id {kind}, {PIECES}")
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc_id, np.frombuffer(data, dtype=dtype)))
+                size += len(held[-1][1])
+                if size >= SHARD_TOKENS:
+                    yield pieces(held, number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield pieces(held, number)
+
+    doc_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    n = max(1, min(-(-n_ids // SHARD_TOKENS), max(partitions(spark), -(-n_ids // (SHARDS * SHARD_TOKENS)))))
+    # copies have one path; their place in the written table spreads them
+    rows = rows.select("doc_id", "ids").mapInArrow(order, f"doc_id {kind}, ids binary, path binary").withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(int(n), "path", "place").sortWithinPartitions("path", "place").select("doc_id", "ids")
+    return rows.mapInArrow(shards, f"doc_id {kind}, {PIECES}")
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

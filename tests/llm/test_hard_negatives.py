@@ -25,7 +25,7 @@ def exact(rows):
     return [(i, l, v and [None if x is None else float(np.float32(x)) for x in v]) for i, l, v in rows]
 
 
-@pytest.mark.parametrize("tile, pack, chunk, big", [(32768, 4096, 64, 1), (40, 7, 3, 1), (64, 8, 5, 1 << 20)])
+@pytest.mark.parametrize("tile, pack, chunk, big", [(32768, 4096, 64, 1), (64, 8, 5, 1 << 20)])
 def test_against_brute_force(spark, monkeypatch, tile, pack, chunk, big):
     for name, value in (("TILE", tile), ("PACK", pack), ("CHUNK", chunk)):
         monkeypatch.setattr(H, name, value)

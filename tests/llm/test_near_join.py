@@ -46,15 +46,16 @@ def corpus():
     return rows + [(3, None), (4, ""), (5, "?!"), (None, rows[0][1]), (rows[1][0], rows[1][1]), (6, rows[2][1].upper() + " !")]
 
 
-@pytest.mark.parametrize("block, small", [(1024, 0), (1024, 24), (3, 0), (3, 5)])
-def test_against_brute_force(spark, monkeypatch, block, small):
-    monkeypatch.setattr(near, "BLOCK", block)
-    monkeypatch.setattr(near, "SMALL", small)
+@pytest.mark.parametrize("block, small, size", [(1024, 24, 1 << 24), (3, 5, 1 << 24), (1024, 24, 3000)])
+def test_against_brute_force(spark, monkeypatch, block, small, size):
+    """With large components, many blocks, and bins and blocks that bytes bound."""
+    for name, value in (("BLOCK", block), ("SMALL", small), ("BIN_BYTES", size), ("BLOCK_BYTES", size)):
+        monkeypatch.setattr(near, name, value)
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, unit string, row int")
     got = [(r.doc_id, r.class_id, r.n_links) for r in jaccard_join(docs).collect()]
     assert sorted(got, key=str) == brute(rows)
-    if block > 3:
+    if block > 3 and size > 3000:
         stay = one_of_each(docs)
         assert stay.columns == docs.columns
         assert stay.select("doc_id").distinct().count() >= len({c for _, c, _ in brute(rows)}) - 1

@@ -89,3 +89,50 @@ def test_runs_and_cuts():
     text = "İ b\nc"
     start, end = P.word_places(text)
     assert [text[s:e] for s, e in zip(start, end)] == ["İ", "b", "c"]
+
+
+def test_result_against_brute_force(spark):
+    """Spans, classes and removals of whole texts against a plain version: windows counted in a dictionary, all pairs of paragraphs compared."""
+    from collections import Counter
+
+    from editpairs.llm.near import with_row
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    shared = [[word() for _ in range(n)] for n in (40, 60, 90, 200)]
+    texts = []
+    for i in range(40):
+        lines = [" ".join(word() for _ in range(rng.randint(5, 60))) for _ in range(rng.randint(1, 4))]
+        for passage in rng.sample(shared, rng.randint(0, 2)):
+            words = list(passage)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                words[rng.randrange(len(words))] = word()
+            lines.insert(rng.randrange(len(lines) + 1), " ".join(words))
+        texts.append("\n".join(lines))
+    rows = [(100 - i, t) for i, t in enumerate(texts)] + [(1, None), (2, ""), (None, texts[0]), (100, texts[0]), (3, "one two three")]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, unit string, start int, n int")
+    key = {(r.doc_id, r.text): r.row for r in with_row(docs).collect()}
+
+    chosen = [(*w, k) for k, (_, t) in enumerate(rows) for w in zip(*P.chosen_windows([t or ""])[1:])]
+    count = Counter(w for _, w, _ in chosen)
+    grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(re.findall(r"[^\W_]+", t.lower()))
+    places = []  # (doc_id, row, number, start, end, shingles, index of the row of docs)
+    for k, (doc_id, t) in enumerate(rows):
+        found = sorted({at for at, w, j in chosen if j == k and count[w] > 1})
+        if found:
+            n = {at: count[w] for at, w, j in chosen if j == k}
+            for no, (s, e) in enumerate(P.paragraphs(t, np.array(found), np.array([n[a] for a in found]))):
+                places.append((doc_id, key[doc_id, t or ""], no, s, e, grams(t[s:e]), k))
+    label = list(range(len(places)))
+    near = [[j for j in range(len(places)) if j != i and 5 * len(places[i][5] & places[j][5]) >= 4 * len(places[i][5] | places[j][5])] for i in range(len(places))]
+    for _ in places:
+        label = [min([label[i], *(label[j] for j in near[i])]) for i in range(len(places))]
+    want: dict[int, set] = {k: set() for k in range(len(rows))}
+    for i, (_, row, no, s, e, _, k) in enumerate(places):
+        if near[i]:
+            group = [places[j] for j in range(len(places)) if label[j] == label[i]]
+            first = min(group, key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[2]))
+            want[k].add((s, e, first[0], len(group), (row, no) != (first[1], first[2])))
+    got = [(r.doc_id, r.row, [tuple(x) for x in r.repeated]) for r in repeated_paragraphs(docs).collect()]
+    assert sorted(map(str, got)) == sorted(str((d, key[d, t or ""], sorted(want[k]))) for k, (d, t) in enumerate(rows))
+    assert sum(len(x) for x in want.values()) > 20 and any(x[4] for v in want.values() for x in v)

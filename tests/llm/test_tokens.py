@@ -144,11 +144,34 @@ def test_windows_follow_bm25():
     assert list(got.values()) == brute_pack(docs, idf)
 
 
-def test_shards_by_heaviest_term():
-    assert packing.shards_of({-1: 4, 3: 5, 7: 25, 8: 2, 9: 9}, 10) == {-1: (0, 1), 3: (0, 1), 7: (1, 3), 8: (4, 1), 9: (5, 1)}
-    column = pa.array([np.array(x, "<u2").tobytes() for x in ([1, 1, 2], [2, 3], [4])], pa.binary())
-    assert packing.heaviest(column, np.dtype("<u2"), np.array([0, 1.0, 1.5, 1.5, 0])).tolist() == [2, 2, -1]
-    assert packing.heaviest(column.slice(1), np.dtype("<u2"), np.array([0, 1.0, 1.5, 1.6, 0])).tolist() == [3, -1]
+def test_heaviest_terms():
+    column = pa.array([np.array(x, "<u2").tobytes() for x in ([1, 1, 2], [2, 3], [4], [])], pa.binary())
+    got = lambda weight, part, k: packing.heaviest(part, np.dtype("<u2"), np.array(weight), k).tolist()
+    assert got([0, 1.0, 1.5, 1.5, 0], column, 1) == [[2], [2], [-1], [-1]] and got([0, 1.0, 1.5, 1.6, 0], column.slice(1), 1) == [[3], [-1], [-1]]
+    assert got([0, 1.2, 1.5, 1.6, 0], column, 3) == [[1, 2, -1], [3, 2, -1], [-1] * 3, [-1] * 3]
+
+
+def test_documents_of_a_common_term_keep_their_neighbours(spark, monkeypatch):
+    """A term that most documents weigh most is told apart by the next ones: whole-corpus neighbours share a shard."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 700)
+    rng = random.Random(6)
+    whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    known = sorted(w for w in whole.get_vocab() if w.isascii() and w.isalpha() and len(w) > 5 and len(whole.encode(f"a {w}", add_special_tokens=False).ids) == 2)
+    common, *words = rng.sample(known, 61)
+    texts, topic = {}, {}
+    for i in range(200):  # half of all documents have the common term first, then their topic's
+        topic[i] = i % 20
+        own = words[3 * topic[i] : 3 * topic[i] + 3]
+        texts[i] = " ".join([common] * (25 * (topic[i] % 2)) + [own[0]] * 12 + rng.choices(own[1:], k=4))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = packed_sequences(docs, tokenizer_path("word_bpe_49k.json"), 1).collect()
+    shards = {}
+    for p in got:
+        shards.setdefault(p.doc_id, set()).add(p.sequence_id >> 32)
+    assert len({s for x in shards.values() for s in x}) > 5
+    same = [len(shards[i] & shards[j]) > 0 for i in texts for j in texts if i < j and topic[i] == topic[j]]
+    other = [len(shards[i] & shards[j]) > 0 for i in texts for j in texts if i < j and topic[i] != topic[j]]
+    assert np.mean(same) > 0.75 and np.mean(other) < 0.2  # a shard holds some 20 documents of 200
 
 
 def test_neighbours_share_terms():

@@ -30,7 +30,7 @@ ROWS += [(100 + i, "http://x.example/ä b\r\nc", "the same page") for i in range
 ROWS += [(200, None, None), (201, "u", ""), (None, "u", "the same page"), (None, "u", "none"), (None, "v", "none"), (139, "w", "the same page"), (139, "w", "the same page"), (-5, "w", "long " * 30000)]
 
 
-@pytest.mark.parametrize("least, files, range_bytes", [(0, 64 << 20, 8 << 20), (0, 2000, 700), (14, 900, 61), (0, 300, 7)])
+@pytest.mark.parametrize("least, files, range_bytes", [(0, 64 << 20, 8 << 20), (14, 900, 61)])
 def test_round_trip_against_brute_force(spark, tmp_path, monkeypatch, least, files, range_bytes):
     monkeypatch.setattr(A, "FILE_BYTES", files)
     pages = spark.createDataFrame([(*r, 1) for r in ROWS], KIND).repartition(3)
@@ -73,7 +73,7 @@ def test_payloads_that_look_like_records(spark, tmp_path):
     noise = bytes(rng.randrange(256) for _ in range(400))
     blocks = [noise, noise + inner * 9 + noise, A.MAGIC * 50, inner * 3 + inner[:-9] + noise, noise * 4 + inner + noise, b"", inner]
     at = archive(tmp_path / "in/a.warc.gz", blocks)
-    for step in (10**6, 997, 300, 101, 33):
+    for step in (10**6, 300, 33):
         got = A.read_warc(spark, f"file://{tmp_path}/in", step, payloads=False).select("offset", "record_id", "payload_bytes").collect()
         assert sorted(map(tuple, got)) == [(o, f"<urn:x:{k}>", None) for k, o in enumerate(at)], step
 

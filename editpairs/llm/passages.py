@@ -39,7 +39,8 @@ def chosen_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     most, low = np.uint64(2**64 - 1), np.uint64(0xFFFFFFFF)
     # texts are parted by WINDOW - 1 windows that are none, so no window is compared with another text's
     key = np.where(text[at] == text[at + WINDOW - 1], (hashed & ~low) | at.astype(np.uint64), most)
-    least = np.lib.stride_tricks.sliding_window_view(np.concatenate((key, np.full(REACH - 1, most))), REACH).min(axis=1)
+    edge = np.full(REACH - 1, most)  # the first and the last text begin and end as those between them do
+    least = np.lib.stride_tricks.sliding_window_view(np.concatenate((edge, key, edge)), REACH).min(axis=1)
     found = np.unique((least[least != most] & low).astype(np.int64))
     return text[found], found - np.searchsorted(text, text[found]), hashed[found].view(np.int64)
 

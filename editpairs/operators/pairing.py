@@ -29,12 +29,8 @@ FALSY = r'^(""|false|null|\[\]|\{\}|-?0(\.0*)?([eE][+-]?[0-9]+)?)$'
 
 
 def _truthy(item: Column, fields: list[str]) -> Column:
-    """The first of an object's fields that is not empty, zero, false or null, as text."""
-    def one(field: str) -> Column:
-        value = F.try_variant_get(item, f"$.{field}", "variant")
-        return F.when(~F.to_json(value).rlike(FALSY), F.try_variant_get(value, "$", "string"))
-
-    return F.coalesce(*map(one, fields))
+    """The first of a struct's fields, JSON values, that is not empty, zero, false or null, as text."""
+    return F.coalesce(*(F.when(~F.to_json(item[f]).rlike(FALSY), F.try_variant_get(item[f], "$", "string")) for f in fields))
 
 
 def instructions(df: DataFrame, json: str) -> DataFrame:
@@ -47,13 +43,15 @@ def instructions(df: DataFrame, json: str) -> DataFrame:
     rows = df.withColumn("_document", F.try_parse_json(F.col(json)))
     entries = df.sparkSession.tvf.variant_explode(F.col("_document").outer())  # pos, key, value; no row for other shapes
     rows = rows.lateralJoin(entries.select(F.col("key").alias("_key"), F.col("value").alias("_value"))).drop("_document")
-    rows = rows.withColumn("_kind", F.schema_of_variant("_value"))
-    nested, plain = F.startswith("_kind", F.lit("OBJECT")), F.col("_kind") == "STRING"
-    value, key = F.col("_value"), F.col("_key")
-    prompt = F.when(nested, strip(_truthy(value, PROMPT_FIELDS))).when(plain, F.try_variant_get(value, "$", "string"))
-    file = F.when(nested, F.coalesce(_truthy(value, FILE_FIELDS), key)).otherwise(key)
-    rows = rows.withColumns({"prompt": prompt, "edited_file": F.nullif(file, F.lit(""))})
-    return rows.filter("prompt IS NOT NULL AND prompt <> ''").drop("_key", "_value", "_kind")
+    names = dict.fromkeys(PROMPT_FIELDS + FILE_FIELDS)
+    item = F.try_variant_get("_value", "$", f"struct<{', '.join(f'{n}: variant' for n in names)}>")  # all fields in one walk
+    rows = rows.withColumns({"_kind": F.schema_of_variant("_value"), "_item": item})
+    nested, plain, key = F.startswith("_kind", F.lit("OBJECT")), F.col("_kind") == "STRING", F.col("_key")
+    prompt = F.when(nested, strip(_truthy(F.col("_item"), PROMPT_FIELDS))).when(plain, F.try_variant_get("_value", "$", "string"))
+    file = F.when(nested, F.coalesce(_truthy(F.col("_item"), FILE_FIELDS), key)).otherwise(key)
+    found = F.array(F.struct(prompt.alias("prompt"), F.nullif(file, F.lit("")).alias("edited_file")))
+    # filtered within the generator: a filter behind it would be pushed down, and make all of this once more
+    return rows.select(*df.columns, F.inline(F.filter(found, lambda e: e["prompt"].isNotNull() & (e["prompt"] != ""))))
 
 
 def candidate_names(file: Column, face_id: Column) -> Column:

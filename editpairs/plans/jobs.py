@@ -10,6 +10,7 @@ from editpairs.functions import image_ops as I
 from editpairs.functions.text import mentions_person
 from editpairs.operators import filters, mixing, pairing, plugins, quality, sampling
 from editpairs.sources import files, io
+from editpairs.sources.shared import written
 
 # How many pairs of each attribute are taken; null is all, 0 none.
 ATTRIBUTE_TARGETS = {"glasses": None, "beard": None, "eyes": None, "hair": 5000, "age": 3000, "gender": 2000, "expression": 2000, "skin": 1000, "anime": 0}
@@ -36,6 +37,7 @@ def discover_pairs(spark: SparkSession, path: str) -> DataFrame:
 def prepare_second_source(pairs: DataFrame, originals: DataFrame, targets: DataFrame, most: int, seed: int) -> DataFrame:
     """Sampled pairs with the path of each original: narrow rows, before any pixel is read."""
     chosen = sampling.capped(sampling.stratified(pairs, "attribute", "entry", targets, seed), most, "entry", seed + 1)
+    chosen = written(chosen, "chosen-pairs")  # narrow rows, read by the check and by each join
     originals = pairing.originals_by_key(originals)
     pairing.check_originals(chosen, originals)
     return pairing.pair_by_key(chosen, pairing.needed_only(originals, chosen))

@@ -84,7 +84,7 @@ def children(folders: DataFrame) -> DataFrame:
 
 def walk(spark: SparkSession, root: str, tasks: int | None = None):
     """ENTRY level by level below root: a level's folders are dealt out over tasks, so the driver sees their number alone."""
-    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    tasks = tasks or 2 * spark.sparkContext.defaultParallelism
     folders = spark.createDataFrame([(root.rstrip("/"),)], "path string")
     while True:
         level = written(children(folders.repartition(tasks)), "listing")

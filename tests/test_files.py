@@ -57,7 +57,7 @@ def _pillow():
 
 
 def test_deep_and_wide_trees(spark, tmp_path):
-    deep = tmp_path / "/".join(f"d{k}" for k in range(12))
+    deep = tmp_path / "/".join(f"d{k}" for k in range(5))
     deep.mkdir(parents=True)
     (deep / "x y.txt").write_text("1")
     for k in range(300):
@@ -66,7 +66,7 @@ def test_deep_and_wide_trees(spark, tmp_path):
     (tmp_path / ".hidden").write_text("")
     got = files.list_tree(spark, str(tmp_path)).collect()
     assert len(got) == 301 and {r.n_bytes for r in got} == {1, 2} and {r.path for r in got} >= {str(deep / "x y.txt"), f"{tmp_path}/w7/f%207"}
-    assert files.list_tree(spark, str(tmp_path), folders=True).count() == 312
+    assert files.list_tree(spark, str(tmp_path), folders=True).count() == 305
     assert files.list_tree(spark, f"{tmp_path}/absent").count() == 0
 
 
@@ -122,7 +122,7 @@ def test_details_of_reports(spark, tmp_path, chunk):
     assert sorted((r.checkpoint, r.idx, r.prompt) for r in got) == [*(("v1", d["idx"], d["prompt"]) for d in details), ("v3", 0, details[0]["prompt"])]
 
 
-@pytest.mark.parametrize("few, bins", [(10_000, 1024), (3, 4), (1, 2)])
+@pytest.mark.parametrize("few, bins", [(10_000, 1024), (2, 16)])
 def test_exact_percentiles(spark, monkeypatch, few, bins):
     monkeypatch.setattr(O, "FEW", few)
     monkeypatch.setattr(O, "BINS", bins)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editpairs.llm.common import BASE, blocks_of, mix64, written
+from editpairs.llm.common import BASE, blocks_of, discard, mix64, written
 from editpairs.llm.near import SIMILARITY, minima, near_classes, with_row
 from editpairs.llm.passages import paragraphs, repeated_windows
 
@@ -51,7 +51,7 @@ def banded(docs: DataFrame) -> DataFrame:
                 })
 
     out = docs.select("row", "doc_id", "text", "at", "n").mapInArrow(each, "row long, doc_id long, no long, start long, end long, text string, size long, unit binary, keys array<long>")
-    return written(out, "paragraphs")
+    return written(out, "paragraphs", compression="zstd")
 
 
 def collisions(units: DataFrame) -> DataFrame:
@@ -74,14 +74,16 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     docs = with_row(docs)
     items = banded(docs.join(repeated_windows(docs), "row"))
     units = items.groupBy("unit").agg(F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"), F.first("text").alias("text"), F.first("size").alias("size"), F.min(F.struct("doc_id", "row", "no")).alias("first"))
-    units = written(units, "paragraph-units")
+    units = written(units, "paragraph-units", compression="zstd")
+    places = written(items.select("row", "no", "start", "end", "unit"), "paragraph-places")
+    discard(items)  # texts and keys stay once a unit
     near = near_classes(units, collisions(units), lambda wanted: wanted)
     units = units.select("unit", "weight", "first").join(near, "unit", "left").filter("weight > 1 OR links > 0").withColumn("component", F.coalesce("component", "unit"))
     units = written(units, "repeated-paragraphs")
     stays = units.groupBy("component").agg(F.min("first").alias("stays"), F.sum("weight").alias("class_size"))
     units = units.join(stays, "component").select("unit", "stays", "class_size")
     removed = (F.col("row") != F.col("stays.row")) | (F.col("no") != F.col("stays.no"))
-    found = items.select("row", "no", "start", "end", "unit").join(units, "unit").select("row", F.struct("start", "end", F.col("stays.doc_id").alias("class_doc_id"), "class_size", removed.alias("removed")).alias("found"))
+    found = places.join(units, "unit").select("row", F.struct("start", "end", F.col("stays.doc_id").alias("class_doc_id"), "class_size", removed.alias("removed")).alias("found"))
     found = found.groupBy("row").agg(F.sort_array(F.collect_set("found")).alias("repeated"))
     none = F.array().cast(found.schema["repeated"].dataType)
     return docs.select("doc_id", "row").join(found, "row", "left").select("doc_id", "row", F.coalesce("repeated", none).alias("repeated"))

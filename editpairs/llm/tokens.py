@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker keeps, at about 200 bytes each.
+#: Words whose ids a worker keeps, in arrays.
 KEPT_WORDS = 300_000
 #: Texts that are cut and looked up together have about so many bytes; a longer text is by itself.
 BLOCK = 4 << 20
@@ -41,14 +41,15 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.kept: dict[str, bytes] = {}
+        # kept words, all their ids, where each word's ids begin and the last ones end, and the words that _is_odd
+        self.kept, self.pool, self.ends, self.odd = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=bool)
         # tokens that begin with a space, or end a word: every word of a text has just one
         own = [i for t, i in self.tokenizer.get_vocab().items() if (t.startswith("\u0120") if self.lead else t.endswith("</w>"))]
         self.edge = np.zeros(size + 1, dtype=bool)
         self.edge[own] = True
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = line[0] if len(line) == 1 else -1
-        self.one_word = re.compile(r" [^\s<]+" if self.lead else r"[a-z]+")
+        self.one_word = re.compile(r" [^\s<]+").fullmatch if self.lead else str.isalpha
         self.one_line = re.compile(r"[^\s<]+")
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -67,34 +68,49 @@ class WordEncoder:
             out += [data[a:b] for a, b in zip((first * size).tolist(), (end * size).tolist())]
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        words = [w for w in new if self.one_word.fullmatch(w)]
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found: dict[str, bytes] = {}
+        words = [w for w in new if self.one_word(w)]
         if self.lead:
-            self.kept.update(zip(words, self._together(words, "", lambda ids: (at := np.flatnonzero(self.edge[ids]), np.append(at[1:], len(ids))))))
+            found.update(zip(words, self._together(words, "", lambda ids: (at := np.flatnonzero(self.edge[ids]), np.append(at[1:], len(ids))))))
         else:
-            self.kept.update(zip(words, self._together(words, " ", lambda ids: (np.append(0, (at := np.flatnonzero(self.edge[ids]) + 1)[:-1]), at))))
-        rest = [w for w in new if w not in self.kept]
+            found.update(zip(words, self._together(words, " ", lambda ids: (np.append(0, (at := np.flatnonzero(self.edge[ids]) + 1)[:-1]), at))))
+        rest = [w for w in new if w not in found]
         if self.lead and self.line_end >= 0:
             words = [w for w in rest if self.one_line.fullmatch(w)]
-            self.kept.update(zip(words, self._together(words, "\n", lambda ids: (np.append(0, (at := np.flatnonzero(ids == self.line_end)) + 1), np.append(at, len(ids))))))
-            rest = [w for w in rest if w not in self.kept]
-        self.kept.update(zip(rest, self.whole(rest)))
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.kept.get, pieces))
-        new = [w for w, x in zip(pieces, found) if x is None]
-        if new:
-            self._learn(new)
-            found = list(map(self.kept.get, pieces))
-        if len(self.kept) > KEPT_WORDS:  # what came first stays: frequent words come early
-            for w in new:
-                del self.kept[w]
-        return found
+            found.update(zip(words, self._together(words, "\n", lambda ids: (np.append(0, (at := np.flatnonzero(ids == self.line_end)) + 1), np.append(at, len(ids))))))
+            rest = [w for w in rest if w not in found]
+        found.update(zip(rest, self.whole(rest)))
+        return [found[w] for w in new]
+
+    def _is_odd(self, piece: str) -> bool:
+        """Only a whole text says how more spaces in a row are cut."""
+        return self.lead and piece[:1] == " " and (len(piece) == 1 or piece[1].isspace())
+
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces: each one's number, and by number the ids, where each one's begin and the last ones end, and is it odd?"""
+        if pieces.type != self.kept.type:
+            self.kept = self.kept.cast(pieces.type)
+        at = pc.index_in(pieces, value_set=self.kept)
+        missing = at.is_null()
+        new = pieces.filter(missing).dictionary_encode()
+        number = at.fill_null(0).to_numpy().astype(np.int64)
+        number[missing.to_numpy(zero_copy_only=False)] = new.indices.to_numpy().astype(np.int64) + len(self.kept)
+        words = new.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self._learn(words)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
+        pool = np.concatenate((self.pool, np.frombuffer(b"".join(ids), dtype=self.dtype)))
+        ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
+        odd = np.concatenate((self.odd, np.fromiter(map(self._is_odd, words), dtype=bool, count=len(words))))
+        if words and len(odd) <= KEPT_WORDS:  # what came first stays: frequent words come early
+            self.kept, self.pool, self.ends, self.odd = pa.concat_arrays([self.kept, new.dictionary]), pool, ends, odd
+        return number, pool, ends, odd
 
     def _cut(self, column: pa.Array) -> pa.Array:
-        """Lists of pieces: cuts lie between a letter and a mark, and at white space."""
+        """Lists of pieces: cuts lie between a letter (one that neither NFC nor lower case takes apart) and a mark, and at white space."""
         if not self.lead:
-            return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(column), r"([a-z])([.,])", r"\1 \2"))
+            return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(column), "([a-zÀ-ÖØ-öø-ÿ])([.,!?;:])", r"\1 \2"))
         column = pc.replace_substring(column, " ", f"{CUT} ")
         column = pc.replace_substring_regex(column, "([A-Za-z])([.,])", rf"\1{CUT}\2")
         return pc.split_pattern(pc.replace_substring_regex(column, "([.,A-Za-z])\n([A-Za-z])", f"\\1\n{CUT}\\2"), CUT)
@@ -102,17 +118,13 @@ class WordEncoder:
     def _block(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = self._cut(column)
         at = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        at, code, pieces = at - at[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        ids = self._ids(pieces)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
-        pool, start = np.frombuffer(b"".join(ids), dtype=self.dtype), np.cumsum(size) - size
-        each = size[code]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        out, offsets = pool[np.repeat(start[code] - ends[:-1], each) + np.arange(ends[-1])], ends[at]
-        if self.lead:  # only a whole text says how more spaces in a row are cut
-            odd = np.array([p[:1] == " " and (len(p) == 1 or p[1].isspace()) for p in pieces], dtype=bool)
-            odd = np.diff(np.concatenate(([0], np.cumsum(odd[code])))[at]) > 0 if odd.any() else np.zeros(len(column), dtype=bool)
+        number, pool, ends, is_odd = self._ids(lists.flatten())
+        at = at - at[0]
+        each = np.diff(ends)[number]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        out, offsets = pool[np.repeat(ends[number] - upto[:-1], each) + np.arange(upto[-1])], upto[at]
+        if self.lead:
+            odd = np.diff(np.concatenate(([0], np.cumsum(is_odd[number])))[at]) > 0
             odd |= pc.match_substring(column, CUT).to_numpy(zero_copy_only=False)
             if odd.any():
                 parts = [out[a:b] for a, b in zip(offsets[:-1], offsets[1:])]

@@ -32,6 +32,36 @@ def test_words_equal_whole_texts(monkeypatch, name, spaces, kept):
             assert ids == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", "lead"), ("word_bpe_49k.json", "drop")])
+def test_cuts_at_marks_equal_whole_texts(name, spaces):
+    rng = random.Random(8)
+    marks = " \n'.,!?;:<=|éÉßÿŸſİıŉµªǆΣςक़\u0301\u0327\u0338×÷각\u11a8ab1²"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.choice([3, 12, 40]))) for _ in range(3000)]
+    whole, coder = Tokenizer.from_file(tokenizer_path(name)), WordEncoder(tokenizer_path(name), spaces)
+    for t, ids in zip(texts * 2, coder.encode(texts) + coder.encode(texts)):
+        assert np.frombuffer(ids, coder.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_new_words_reach_the_tokenizer_together():
+    """Words with letters beyond a-z, and words before any mark, cost no call of their own."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcéèçñöß") for _ in range(9)) for _ in range(3000)})
+    text = " ".join(w + rng.choice(["", "!", "?!", ";", ":", ".", ","]) for w in words)
+    coder, sent = WordEncoder(tokenizer_path("word_bpe_49k.json"), "drop"), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    whole, coder.tokenizer = coder.tokenizer, Counted()
+    assert np.frombuffer(coder.encode([text])[0], coder.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(sent) < len(words) / 100
+    sent.clear()
+    coder.encode([text])  # all are kept
+    assert not sent
+
+
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 2, 3, 10**12], list(range(2000)), [7] * 600 + [2**40]])
 def test_elias_fano(values):
     e = EliasFano.from_bytes(EliasFano.encode(np.array(values, dtype=np.uint64)).to_bytes())
@@ -151,6 +181,20 @@ def test_heaviest_terms():
     assert got([0, 1.2, 1.5, 1.6, 0], column, 3) == [[1, 2, -1], [3, 2, -1], [-1] * 3, [-1] * 3]
 
 
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_terms_against_a_plain_version(dtype):
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 50, n).tolist() + [65535] * (n % 3) for n in rng.choice([0, 1, 5, 60], 1200)]
+    column, weight = pa.array([np.array(d, dtype).tobytes() for d in docs], pa.binary()), rng.integers(0, 4, 65536) / 2
+    part = column.slice(3)
+    want = [(i, t, d.count(t)) for i, d in enumerate(docs[3:]) for t in sorted(set(d))]
+    assert list(zip(*(x.tolist() for x in packing.term_counts(part, np.dtype(dtype))))) == want
+    heavy = lambda t, n: weight[t] * n * 2.2 / (n + 1.2)
+    for d, got in zip(docs[3:], packing.heaviest(part, np.dtype(dtype), weight).tolist()):
+        top = sorted((t for t in set(d) if weight[t]), key=lambda t: (-heavy(t, d.count(t)), t))[:4]
+        assert got == top + [-1] * (4 - len(top))
+
+
 def test_documents_of_a_common_term_keep_their_neighbours(spark, monkeypatch):
     """A term that most documents weigh most is told apart by the next ones: whole-corpus neighbours share a shard."""
     monkeypatch.setattr(packing, "SHARD_TOKENS", 700)

@@ -61,7 +61,11 @@ def image_embedding(image: Column, loader: Callable, batch: int = 8) -> Column:
 
 
 def shows_face(image: Column, loader: Callable | None = None) -> Column:
-    """Does the image show a face? The model maps a list of arrays to flags."""
+    """Does the image show a face? The model maps a list of arrays to flags.
+
+    It is asked once for an image, where the column stands: a filter on the flag neither repeats it nor takes it
+    below an exchange, to where rows are not dealt out yet.
+    """
     if loader is None:
         return F.lit(True)
 
@@ -71,7 +75,7 @@ def shows_face(image: Column, loader: Callable | None = None) -> Column:
         for values in batches:
             yield pd.Series(list(model(_arrays(values))), dtype=object)
 
-    return detect(image)
+    return detect.asNondeterministic()(image)
 
 
 def token_ids(prompt: Column, loader: Callable) -> Column:

@@ -7,6 +7,8 @@ images are derived from parts, a few hundred pixels each.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from editpairs.functions.hashing import seeded_uniform
 from editpairs.functions.vectors import cosine
 from editpairs.operators import evaluation, feed, filters, mixing, pairing, quality, sampling
 from editpairs.plans import jobs
+from editpairs.schema import IMAGE
 from editpairs.sources import io
 from editpairs.sources.shared import written
 
@@ -574,18 +577,47 @@ PIXELS_SQL = f"""px AS (SELECT p_partkey AS id, {WIDE} AS w, x, y, c, (p_partkey
   FROM part, range({HIGH}) ty(y), range(18) tx(x), range(3) tc(c) WHERE x < {WIDE})"""
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), (12 + F.col("p_size") % 7).cast("int").alias("w"), F.col("p_name").alias("edit_prompt"))
+def picture_bytes(start: np.ndarray, wide: np.ndarray) -> pa.Array:
+    """Bytes of images by their first sample and width: a sample more a row, column and channel as in PIXELS_SQL, images of one width at a time."""
+    parts, places = [], []
+    for w in np.unique(wide):
+        y, x, c = np.ogrid[:HIGH, :w, :3]
+        at = np.flatnonzero(wide == w)
+        values = (start[at, None] + (y * 13 + x * 7 + c * 101).reshape(1, -1).astype(np.int16)).astype(np.int16)
+        rest = np.fmod(values, 256)
+        data = np.where(rest < 0, 255, rest).astype(np.uint8) if (values < 0).any() else values.astype(np.uint8)
+        ends = np.arange(len(at) + 1, dtype=np.int32) * data.shape[1]
+        parts.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+        places.append(at)
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(places))))
+
+
+def images(spark: SparkSession, sf_dir: str, chosen: str = "true") -> DataFrame:
+    """pair_id, edit_prompt and two images of each of the chosen parts."""
+    part = table(spark, sf_dir, "part").filter(chosen).select(F.col("p_partkey").alias("pair_id"), (12 + F.col("p_size") % 7).cast("int").alias("w"), F.col("p_name").alias("edit_prompt"))
     part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pair_id")  # narrow rows are dealt out before they become pixels
 
-    def image(shift: Column) -> Column:
-        at = F.sequence(F.lit(0), F.col("w") * (HIGH * 3) - 1)
-        row = F.col("w") * 3
-        value = lambda i: (F.col("pair_id") * 31 + F.floor(i / row) * 13 + F.floor(i % row / 3) * 7 + i % 3 * 101 + shift) % 256
-        data = F.unhex(F.array_join(F.transform(at, lambda i: F.lpad(F.hex(value(i).cast("long")), 2, "0")), ""))
-        return F.struct(F.lit(HIGH).alias("height"), F.col("w").alias("width"), F.lit(3).alias("channels"), data.alias("data"))
-
-    return part.select("pair_id", "edit_prompt", image(F.lit(0)).alias("original_image"), image(F.col("pair_id") % 3 * 40).alias("edited_image"))
+    def first(shift: Column) -> Column:
+        at = F.col("pair_id") * 31 + shift
+        return F.when(at >= 0, at % 256).when(at >= -512, at).otherwise(at % 256 - 512).cast("int")  # what is far below zero stays below it
+
+    def draw(batches):
+        for batch in batches:
+            pair_id, prompt, wide, *firsts = batch.columns
+            out = [pair_id, prompt]
+            for start in firsts:
+                there = wide.is_valid().to_numpy(zero_copy_only=False) & start.is_valid().to_numpy(zero_copy_only=False)
+                data = pa.nulls(len(wide), pa.binary())
+                if there.any():
+                    drawn = picture_bytes(start.filter(pa.array(there)).to_numpy(), wide.filter(pa.array(there)).to_numpy())
+                    data = drawn.take(pa.array(np.cumsum(there) - 1, mask=~there))
+                side = lambda n: pa.array(np.full(len(wide), n, dtype=np.int32))
+                out.append(pa.StructArray.from_arrays([side(HIGH), wide, side(3), data], names=IMAGE.names))
+            yield pa.RecordBatch.from_arrays(out, names=["pair_id", "edit_prompt", "original_image", "edited_image"])
+
+    kind = F.lit(None).cast(IMAGE)
+    schema = part.select("pair_id", "edit_prompt", kind.alias("original_image"), kind.alias("edited_image")).schema
+    return part.select("pair_id", "edit_prompt", "w", first(F.lit(0)), first(F.col("pair_id") % 3 * 40)).mapInArrow(draw, schema)
 
 
 @query(f"WITH {PIXELS_SQL} SELECT id AS pair_id, round(avg(pow(a / 255.0::DOUBLE - b / 255.0::DOUBLE, 2)), 9) AS mse FROM px GROUP BY id")

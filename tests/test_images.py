@@ -159,3 +159,18 @@ def test_contact_sheets(spark):
     assert got.keys() == {"a", "b", None} and (got["a"].height, got["a"].width, got["b"].height) == (2 + 3 * 6, 9, 8)
     x = np.frombuffer(got["a"].data, np.uint8).reshape(20, 9, 3)
     assert (x[:2] == 255).all() and (x[2:6, :4] == 0).all() and (x[2:6, 5:] == 100).all() and (x[8:12, :4] == 10).all() and (x[8:12, 4:] == 255).all() and (x[14:18, :4] == 20).all() and (x[:, 4] == 255).all()
+
+
+def test_pictures_of_parts_by_their_definition(spark, tmp_path):
+    from editpairs.plans import queries
+
+    parts = [(k, s, f"p{k}") for k, s in [(0, 1), (7, 50), (8, 6), (-3, 2), (-700, -4), (1 << 50, 3)]] + [(1, None, "x"), (None, 4, "y")]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.edit_prompt: r for r in queries.images(spark, str(tmp_path)).collect()}
+    assert len(got) == 8 and got["x"].original_image.data is None and got["y"].edited_image.data is None
+    for k, size, name in parts[:6]:
+        w = 12 + int(np.fmod(size, 7))
+        for image, shift in ((got[name].original_image, 0), (got[name].edited_image, int(np.fmod(k, 3)) * 40)):
+            samples = [int(np.fmod(k * 31 + y * 13 + x * 7 + c * 101 + shift, 256)) for y in range(10) for x in range(w) for c in range(3)]
+            assert (image.height, image.width, image.channels) == (10, w, 3) and list(image.data) == [v if v >= 0 else 255 for v in samples]
+    assert [r.pair_id for r in queries.images(spark, str(tmp_path), "p_partkey = 7").collect()] == [7]

@@ -51,6 +51,28 @@ def test_distance_and_faces(spark):
     assert tuple(row) == (32.0, False, True)
 
 
+def test_faces_are_looked_for_once_where_rows_are_dealt_out(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def loader():
+        import uuid
+
+        def model(items):
+            (log / uuid.uuid4().hex).write_text(str(len(items)))
+            return [x.shape[1] > 2 for x in items]
+
+        return model
+
+    pairs = [(k, struct(ramp(2, 2 + k % 3)), struct(ramp(2, 2 + k % 2))) for k in range(40)]
+    df = spark.createDataFrame(pairs, f"id int, a {IMAGE.simpleString()}, b {IMAGE.simpleString()}").repartition(4, "id")
+    rows = filters.keep_faces(df.select("id", plugins.shows_face(F.col("a"), loader).alias("face_orig"), plugins.shows_face(F.col("b"), loader).alias("face_edited")))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("detect(") < plan.index("Exchange")
+    assert {r.id: (r.face_orig, r.face_edited) for r in rows.collect()} == {k: (k % 3 > 0, k % 2 > 0) for k in range(40) if k % 3 == 0 or k % 2 > 0}
+    assert sum(int(f.read_text()) for f in log.iterdir()) == 2 * len(pairs)
+
+
 def test_decoder_of_files(spark, tmp_path):
     (tmp_path / "a.raw").write_bytes(bytes([2, 1]) + bytes(range(6)))
     (tmp_path / "b.raw").write_bytes(b"?")

@@ -6,8 +6,12 @@ that asked for it. Paths without a scheme are local ones, as are those of `file:
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import itertools
+import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +41,64 @@ def read_bytes(path: str) -> bytes | None:
         return None
 
 
-def write_files(rows: DataFrame, path: str, content: str) -> int:
-    """Write `content` of each row to the file at its `path`, in the rows' tasks; the number of files."""
+def put(store, at: str, data: bytes) -> None:
+    """Write a file, and its folder where there is none yet."""
+    try:
+        file = store.open_output_stream(at)
+    except FileNotFoundError:
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        file = store.open_output_stream(at)
+    with file:
+        file.write(data)
+
+
+def named_too(source: str, at: str) -> bool:
+    """Make `at` one more name of a local file; False where the disk has no such links, or no more of this file."""
+    try:
+        try:
+            os.link(source, at)
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            os.link(source, at)
+        except FileExistsError:
+            os.remove(at)
+            os.link(source, at)
+    except OSError:
+        return False
+    return True
+
+
+#: Contents of which a task remembers where it wrote them.
+REMEMBERED = 1 << 16
+
+
+def write_files(rows: DataFrame, path: str, content: str, linked: bool = False) -> int:
+    """Write `content` of each row to the file at its `path`, in the rows' tasks; the number of files.
+
+    linked: equal contents of a task are one file with several names on local disks that can do so, and take
+    an inode and blocks once. It is for files that nobody changes in place; writing them anew is safe.
+    """
 
     def write(batches):
-        made = set()
+        from pyarrow import fs
+
+        known: dict[bytes, str] = {}
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = data if isinstance(data, bytes) else data.encode()
                 store, at = store_of(name)
-                folder = at.rpartition("/")[0]
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with store.open_output_stream(at) as f:
-                    f.write(data if isinstance(data, bytes) else data.encode())
+                if not linked or not isinstance(store, fs.LocalFileSystem):
+                    put(store, at, data)
+                    continue
+                key = hashlib.sha256(data).digest()
+                if key in known and named_too(known[key], at):
+                    continue
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(at)  # other names of what lies there keep their content
+                put(store, at, data)
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = at
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
     return rows.select(path, content).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -62,24 +110,45 @@ def write_files(rows: DataFrame, path: str, content: str) -> int:
 ENTRY = "dir string, name string, path string, is_folder boolean, n_bytes long"
 
 
-def children(folders: DataFrame) -> DataFrame:
-    """ENTRY for all that lies directly in folders (path); a folder that is gone has nothing in it."""
+#: Entries that leave a task at a time.
+LISTED = 10_000
 
-    def each(batches):
-        from pyarrow import fs
 
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                store, at = store_of(folder)
-                scheme = folder[: len(folder) - len(at)] if folder.endswith(at) and not folder.startswith("file:") else ""
-                found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
-                names = [f.base_name for f in found]
-                yield pa.RecordBatch.from_pydict({
-                    "dir": pa.array([scheme + at.rstrip("/")] * len(found), pa.string()), "name": pa.array(names, pa.string()), "path": pa.array([f"{scheme}{at.rstrip('/')}/{n}" for n in names], pa.string()),
-                    "is_folder": pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()), "n_bytes": pa.array([f.size for f in found], pa.int64()),
-                })
-
-    return folders.select("path").mapInArrow(each, ENTRY)
+def entries(folder: str) -> Iterator[tuple[str, str, bool, int | None]]:
+    """(dir, name, is it a folder, bytes) of all that lies directly in a folder, nothing if it is gone; on a local disk one entry is held at a time."""
+    from pyarrow import fs
+
+    store, at = store_of(folder)
+    scheme = folder[: len(folder) - len(at)] if folder.endswith(at) and not folder.startswith("file:") else ""
+    place = scheme + at.rstrip("/")
+    if not isinstance(store, fs.LocalFileSystem):
+        for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            yield place, f.base_name, f.type == fs.FileType.Directory, f.size
+        return
+    with contextlib.suppress(FileNotFoundError), os.scandir(at) as found:
+        for f in found:
+            is_folder = f.is_dir()
+            try:
+                size = None if is_folder else f.stat().st_size
+            except FileNotFoundError:  # gone by now, or a link to nothing
+                continue
+            yield place, f.name, is_folder, size
+
+
+def listing(folders: Iterator[str], most: int = LISTED) -> Iterator[pa.RecordBatch]:
+    """ENTRY of folders in batches of one size, whether they come from a wide folder or from very many narrow ones."""
+    found = (e for folder in folders for e in entries(folder))
+    while held := list(itertools.islice(found, most)):
+        dirs, names, kinds, sizes = zip(*held)
+        yield pa.RecordBatch.from_pydict({
+            "dir": pa.array(dirs, pa.string()), "name": pa.array(names, pa.string()), "path": pa.array([f"{d}/{n}" for d, n in zip(dirs, names)], pa.string()),
+            "is_folder": pa.array(kinds, pa.bool_()), "n_bytes": pa.array(sizes, pa.int64()),
+        })
+
+
+def children(folders: DataFrame) -> DataFrame:
+    """ENTRY for all that lies directly in folders (path); a folder that is gone has nothing in it."""
+    return folders.select("path").mapInArrow(lambda batches: listing(folder for batch in batches for folder in batch.column(0).to_pylist()), ENTRY)
 
 
 def walk(spark: SparkSession, root: str, tasks: int | None = None):

@@ -70,6 +70,59 @@ def test_deep_and_wide_trees(spark, tmp_path):
     assert files.list_tree(spark, f"{tmp_path}/absent").count() == 0
 
 
+def test_listing_leaves_in_batches_of_one_size(tmp_path):
+    (tmp_path / "wide").mkdir()
+    for k in range(50):
+        (tmp_path / f"wide/f{k}").write_text("abc")
+        (tmp_path / f"n{k}").mkdir()
+        (tmp_path / f"n{k}/f").write_text("a")
+    (tmp_path / "wide/nothing").symlink_to(tmp_path / "absent")
+    (tmp_path / "wide/folder").symlink_to(tmp_path / "n1")
+    asked = []
+
+    def folders():
+        for name in ("wide", "absent", *(f"n{k}" for k in range(50))):
+            asked.append(name)
+            yield f"{tmp_path}/{name}"
+
+    found = files.listing(folders(), 20)
+    sizes = [next(found).num_rows]
+    assert sizes == [20] and asked == ["wide"]
+    batches = list(found)
+    assert sizes + [b.num_rows for b in batches] == [20, 20, 20, 20, 20, 1] and len(asked) == 52
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert {(r["name"], r["is_folder"], r["n_bytes"]) for r in rows} >= {("f", False, 1)} and {r["path"] for r in rows} >= {f"{tmp_path}/n{k}/f" for k in range(50)}
+    wide = [r for b in files.listing(iter([f"{tmp_path}/wide"])) for r in b.to_pylist()]
+    assert len(wide) == 51 and [(r["name"], r["n_bytes"]) for r in wide if r["is_folder"]] == [("folder", None)] and {r["dir"] for r in wide} == {f"{tmp_path}/wide"}
+
+
+def test_equal_files_take_one_inode(spark, tmp_path, monkeypatch):
+    import os
+
+    rows = spark.range(0, 60, 1, 2).select(F.format_string(f"{tmp_path}/t/d%d/f%d", F.col("id") % 3, "id").alias("p"), F.concat(F.lit("c"), F.col("id") % 5).alias("c"))
+    for _ in range(2):  # a task that is repeated finds its files there
+        assert files.write_files(rows, "p", "c", linked=True) == 60
+    found = {p: p.stat().st_ino for p in (tmp_path / "t").rglob("f*")}
+    assert len(found) == 60 and len(set(found.values())) <= 10 and all(p.read_text() == f"c{int(p.name[1:]) % 5}" for p in found)
+    files.write_files(rows.filter("id = 7").withColumn("c", F.lit("new")), "p", "c", linked=True)
+    assert sum(p.read_text() == "new" for p in found) == 1
+    files.write_files(rows.select(F.concat("p", F.lit("x")).alias("p"), "c"), "p", "c")
+    assert len({p.stat().st_ino for p in (tmp_path / "t").rglob("f*x")}) == 60
+    a, b = tmp_path / "t/d0/f0", tmp_path / "t/deep/er/f0"
+    assert files.named_too(str(a), str(b)) and files.named_too(str(a), str(b)) and b.samefile(a) and not files.named_too(f"{tmp_path}/absent", f"{tmp_path}/y")
+    monkeypatch.setattr(os, "link", lambda *_: (_ for _ in ()).throw(OSError(31, "too many links")))
+    assert not files.named_too(str(a), f"{tmp_path}/z")
+
+
+def test_a_tree_has_no_inode_for_each_file(spark):
+    import os
+
+    from editpairs.plans import file_queries
+
+    paths = [r.path for r in files.list_tree(spark, file_queries.written_tree(spark, "/root/testdata/sf0.001")).collect()]
+    assert len(paths) > 500 and len({os.stat(p).st_ino for p in paths}) < 0.8 * len(paths)
+
+
 def counted_opener(log):
     def opener():
         import uuid

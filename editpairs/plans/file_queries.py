@@ -96,10 +96,11 @@ def images_by_path(spark, sf_dir):
 @query(f"WITH {PIXELS_SQL} SELECT p_name AS caption, md5(string_agg(lpad(hex(b), 2, '0'), '' ORDER BY y, x, c)) AS pixels FROM px JOIN part ON id = p_partkey WHERE id % 4 = 1 GROUP BY id, p_name")
 def image_folder(spark, sf_dir):
     root = local(shared_dir(spark, "image-folder"))
-    part = images(spark, sf_dir).filter("pair_id % 4 = 1")
-    name = F.concat(F.col("pair_id").cast("string"), F.lit(".png"))
-    files.write_files(part.select(F.concat(F.lit(f"{root}/"), name).alias("path"), as_png(F.col("edited_image")).alias("content")), "path", "content")
-    part.select(name.alias("file_name"), F.col("edit_prompt").alias("caption")).write.json(f"{root}/metadata.jsonl")
+    chosen = "p_partkey % 4 = 1"
+    drawn = images(spark, sf_dir, chosen).select(F.concat(F.lit(f"{root}/"), F.col("pair_id").cast("string"), F.lit(".png")).alias("path"), as_png(F.col("edited_image")).alias("content"))
+    files.write_files(drawn, "path", "content")
+    captions = table(spark, sf_dir, "part").filter(chosen)
+    captions.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".png")).alias("file_name"), F.col("p_name").alias("caption")).write.json(f"{root}/metadata.jsonl")
     return io.read_image_folder(spark, root).select("caption", F.md5(F.hex("image.data").cast("binary")).alias("pixels"))
 
 

@@ -31,16 +31,25 @@ def store_of(path: str):
     return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
 
 
-def read_bytes(path: str) -> bytes | None:
-    """A file's content; null if there is none."""
+def opened(path: str):
+    """A stream of a file's content; null if there is no such file."""
     store, name = store_of(path)
     try:
-        with store.open_input_stream(name) as f:
-            return f.read()
-    except FileNotFoundError:
+        return store.open_input_stream(name)
+    except (FileNotFoundError, NotADirectoryError):
+        return None
+    except OSError:
+        if store.get_file_info(name).is_file:
+            raise
         return None
 
 
+def read_bytes(path: str) -> bytes | None:
+    """A file's content; null if there is none."""
+    with opened(path) or contextlib.nullcontext() as f:
+        return None if f is None else f.read()
+
+
 def put(store, at: str, data: bytes) -> None:
     """Write a file, and its folder where there is none yet."""
     try:
@@ -191,6 +200,34 @@ def default_decoder() -> Callable[[bytes], np.ndarray]:
     return lambda data: np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
 
 
+def reads(head: bytes) -> bool:
+    """Does default_decoder() take a file that begins so, HEAD bytes of it? Without Pillow that is PNG of 8 bits that is not interlaced, with gray, RGB, a palette or alpha besides RGB."""
+    try:
+        import PIL  # noqa: F401
+    except ImportError:
+        return len(head) == HEAD and head.startswith(png.SIGNATURE) and head[12:16] == b"IHDR" and head[24] == 8 and head[25] in (0, 2, 3, 6) and head[28] == 0
+    return True
+
+
+#: Bytes up to the end of what a PNG file says of its pixels.
+HEAD = 29
+
+
+def unread(paths: DataFrame) -> DataFrame:
+    """Those of the files at `path` that default_decoder() does not take, by their first bytes; what is missing is not among them."""
+
+    def look(batches):
+        for batch in batches:
+            other = []
+            for path in batch.column(0).to_pylist():
+                with opened(path) or contextlib.nullcontext() as f:
+                    if f is not None and not reads(f.read(HEAD)):
+                        other.append(path)
+            yield pa.RecordBatch.from_pydict({"path": pa.array(other, pa.string())})
+
+    return paths.select("path").mapInArrow(look, "path string")
+
+
 def decoded(data: bytes | None, decoder: Callable[[bytes], np.ndarray]) -> np.ndarray | None:
     """RGB pixels; null for what can't be decoded."""
     try:
@@ -244,15 +281,32 @@ def load_pairs(pairs: DataFrame, original: str, edited: str, side: int, decoder=
     return rows.mapInArrow(load, schema)
 
 
-def load_images(paths: DataFrame, decoder=None, opener=None) -> DataFrame:
-    """path and image of each distinct path, read and decoded where its row lies; null if it is missing or broken."""
+def with_images(rows: DataFrame, path: str, decoder=None, opener=None, missing: bool = True) -> DataFrame:
+    """rows with the image of the file at their path, read and decoded where they lie; null if it is broken or, where such rows are kept, missing."""
+    schema = rows.select("*", F.lit(None).cast(IMAGE).alias("image")).schema
+    at = rows.columns.index(path)
 
     def load(batches):
         decode, read = (decoder or default_decoder)(), opener() if opener else read_bytes
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                image = None if path is None else decoded(read(path), decode)
-                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), as_images([image])], names=["path", "image"])
+            held, kept, arrays = 0, [], []
+            together = lambda: pa.RecordBatch.from_arrays([*batch.take(pa.array(kept)).columns, as_images(arrays)], names=schema.names)  # noqa: E731, B023
+            for k, name in enumerate(batch.column(at).to_pylist()):
+                data = None if name is None else read(name)
+                if data is None and not missing:
+                    continue
+                kept.append(k)
+                arrays.append(decoded(data, decode))
+                held += 0 if arrays[-1] is None else arrays[-1].nbytes
+                if held >= BATCH_BYTES:
+                    yield together()
+                    held, kept, arrays = 0, [], []
+            if kept:
+                yield together()
 
-    kind = F.lit(None).cast(IMAGE).alias("image")
-    return paths.select("path").distinct().mapInArrow(load, paths.select("path", kind).schema)
+    return rows.mapInArrow(load, schema)
+
+
+def load_images(paths: DataFrame, decoder=None, opener=None) -> DataFrame:
+    """path and image of each distinct path; null if it is missing or broken."""
+    return with_images(paths.select("path").distinct(), "path", decoder, opener)

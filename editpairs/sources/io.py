@@ -12,6 +12,7 @@ from editpairs.functions.image_ops import from_bgr
 from editpairs.functions.text import slug
 from editpairs.schema import IMAGE, require
 from editpairs.sources import files
+from editpairs.sources.shared import written
 
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 
@@ -96,7 +97,7 @@ def image_inventory(spark: SparkSession, root: str) -> DataFrame:
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     """path and image (RGB) of image files; what can't be decoded has a null image."""
     rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(list(paths))
-    return rows.select(F.url_decode(F.regexp_replace("image.origin", "^file:/*", "/")).alias("path"), from_bgr(F.col("image")).alias("image"))
+    return rows.select(F.url_decode(F.replace(F.regexp_replace("image.origin", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("path"), from_bgr(F.col("image")).alias("image"))
 
 
 def read_chosen_images(spark: SparkSession, paths: DataFrame) -> DataFrame:
@@ -112,13 +113,41 @@ def decode(files: DataFrame, decoder) -> DataFrame:
     return files.select("path", decoder("content").alias("image"))
 
 
+#: Files that Spark's image source opens by their names; where there are more, it goes through their folder.
+FEW = 1000
+
+
 def read_image_folder(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of metadata.jsonl (file_name, a path below root, and captions) with their images."""
-    root = root.rstrip("/")
-    captions = spark.read.json(f"{root}/metadata.jsonl")
-    top = re.sub("^file:/*", "/", root)
-    images = read_images(spark, root).withColumn("file_name", F.substring(F.col("path"), F.lit(len(top) + 2), F.length("path"))).drop("path")
-    return captions.join(images, "file_name")
+    """Rows of metadata.jsonl (file_name, a path below root, and captions) with their images; null for what can't be decoded. Rows without a file go.
+
+    Executors open the named files where their rows lie: no folder is listed and no pixel shuffled. What they can't
+    decode there (files are looked at by their first bytes) is left to Spark's image source, and so is all of a
+    folder in a store that Spark alone reaches.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    root = re.sub("^file:/*", "/", place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString())
+    captions = spark.read.json(f"{root}/metadata.jsonl").filter("file_name IS NOT NULL")
+    columns = ["file_name", *(c for c in captions.columns if c != "file_name"), "image"]
+    try:
+        files.store_of(root)
+    except (OSError, ValueError, NotImplementedError):
+        return captions.join(_below(read_images(spark, root), root), "file_name").select(columns)
+    rows = captions.filter(~F.col("file_name").rlike(r"(^|/)\.\.(/|$)")).withColumn("_path", F.concat(F.lit(f"{root}/"), "file_name"))
+    dealt = lambda r: r.repartition(4 * spark.sparkContext.defaultParallelism)  # noqa: E731  a caption is narrow, its image is not
+    opened = lambda r: files.with_images(dealt(r), "_path", missing=False).select(columns)
+    other = written(files.unread(dealt(rows.select(F.col("_path").alias("path")))), "unread").distinct()
+    some = other.limit(FEW + 1).count()
+    if not some:
+        return opened(rows)
+    images = (read_chosen_images(spark, other) if some <= FEW else read_images(spark, root)).withColumnRenamed("path", "_path")
+    other = other.withColumnRenamed("path", "_path")
+    rest = rows.join(other, "_path", "left_semi").join(images, "_path", "left")
+    return opened(rows.join(other, "_path", "left_anti")).union(rest.select(columns))
+
+
+def _below(images: DataFrame, root: str) -> DataFrame:
+    """file_name, a path below root, in place of path."""
+    return images.withColumn("file_name", F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path"))).drop("path")
 
 
 def prompt_suite(df: DataFrame, json: str) -> DataFrame:

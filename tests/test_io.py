@@ -73,6 +73,52 @@ def test_image_folder_and_broken_image(spark, tmp_path):
     assert got["one"].data[:3] == bytes([1, 2, 3]) and got["two"] is None
 
 
+@pytest.mark.parametrize("few", [1000, 1])
+def test_image_folder_of_many_kinds(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(io, "FEW", few)
+    root = tmp_path / "a folder"
+    names = ["a.png", "sub/b c+d.png", "_hidden.png", "no suffix"]
+    for k, name in enumerate(names):
+        png(root / name, 3 + k, 2, (k, 2, 3))
+    png(tmp_path / "outside.png", 1, 1, (0, 0, 0))
+    java = spark._jvm
+    drawn = java.java.awt.image.BufferedImage(5, 4, 1)
+    for x in range(5):
+        for y in range(4):
+            drawn.setRGB(x, y, 0xC08040)
+    for kind in ("jpg", "bmp", "gif"):
+        assert java.javax.imageio.ImageIO.write(drawn, kind, java.java.io.File(f"{root}/x+ {kind}.{kind}"))
+    whole = (root / "a.png").read_bytes()
+    (root / "cut.png").write_bytes(whole[:-20])
+    (root / "empty.png").write_bytes(b"")
+    (root / "junk.jpg").write_bytes(b"junk")
+    other = [f"x+ {kind}.{kind}" for kind in ("jpg", "bmp", "gif")]
+    broken, gone = ["cut.png", "empty.png", "junk.jpg"], ["absent.png", "absent.jpg", "sub", "a.png/b.png", "../outside.png", None]
+    lines = [{"text": f"t{k}", "file_name": n} for k, n in enumerate([*names, "a.png", *other, *broken, *gone])]
+    (root / "metadata.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    rows = io.read_image_folder(spark, f"file:{root}/")
+    assert rows.columns == ["file_name", "text", "image"]
+    got = {r.text: (r.file_name, r.image) for r in rows.collect()}
+    assert len(got) == 5 + 3 + 3 and {n for n, _ in got.values()} == {*names, *other, *broken}
+    for k in range(5):
+        name, image = got[f"t{k}"]
+        assert (image.width, image.height, image.channels) == (3 + k % 4, 2, 3) and image.data == bytes([k % 4, 2, 3]) * (2 * (3 + k % 4))
+    for k in range(5, 8):
+        image = got[f"t{k}"][1]
+        assert (image.width, image.height) == (5, 4) and all(abs(v - w) <= 3 for v, w in zip(image.data, bytes([0xC0, 0x80, 0x40]) * 20, strict=True))
+    assert all(got[f"t{k}"][1] is None for k in range(8, 11))
+
+
+def test_image_folder_lists_no_folder_and_shuffles_no_pixel(spark, tmp_path):
+    for k in range(40):
+        png(tmp_path / f"{k}.png", 3, 2, (k, 2, 3))
+    (tmp_path / "metadata.jsonl").write_text("\n".join(json.dumps({"file_name": f"{k}.png", "text": str(k)}) for k in range(40)))
+    rows = io.read_image_folder(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FileScan image" not in plan and plan.index("MapInArrow") < plan.index("Exchange")  # pixels are made above the exchange
+    assert {r.text: r.image.data[0] for r in rows.collect()} == {str(k): k for k in range(40)}
+
+
 def test_prompt_suites_and_weights(spark, tmp_path):
     (tmp_path / "l.json").write_text('["Make it Red!", {"id": "x", "prompt": "p", "category": "c"}]')
     (tmp_path / "o.json").write_text('{"prompts": [{"prompt": "q q"}]}')
